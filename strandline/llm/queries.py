@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, fingerprints, licenses, mixing, sharding
+from . import common, fingerprints, licenses, mixing, neardup, sharding
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(common.table(spark, sf_dir, "documents"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(common.table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_licenses, op7_sharding, op8_mixing, op10_fingerprints)}
+    return {f.__name__: f for f in (op4_licenses, op5_near_duplicates, op7_sharding, op8_mixing, op10_fingerprints)}
 
 
 def oracle_sql() -> dict[str, str]:
