@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 256
@@ -157,17 +158,25 @@ def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
     return names, scores
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, lang_pred, score) of all rows."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", only: tuple[str, ...] | None = None) -> DataFrame:
+    """docs' columns (or only those named) with __lang_pred and __lang_score, all rows."""
     shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
-    kind = docs.schema[doc_id].dataType
+    kept = docs.columns if only is None else list(only)
+    rows = docs.select(*kept, F.col(text).cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model.__new__(Model)
         known.languages, known.log_p = shipped.value
         for batch in batches:
-            names, scores = identify(batch.column(1).to_pylist(), known)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
+            names, scores = identify(batch.column(len(kept)).to_pylist(), known)
+            columns = [*(batch.column(k) for k in range(len(kept))), pa.array(names, pa.string()), pa.array(scores)]
+            yield pa.RecordBatch.from_arrays(columns, [*kept, "__lang_pred", "__lang_score"])
+
+    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
+    return rows.mapInArrow(run, schema)
 
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind.simpleString()}, lang_pred string, score double")
+
+def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, lang_pred, score) of all rows."""
+    out = predicted(docs, model, text, (doc_id,))
+    return out.select(F.col(doc_id).alias("doc_id"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))

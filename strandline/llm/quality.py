@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import id_remainder
 
@@ -218,21 +219,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     return vectors, train(x, np.array([r[1] for r in rows]))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
-    """(doc_id, score) of all rows."""
+def scored(docs: DataFrame, vectors: np.ndarray, network: Network, only: tuple[str, ...] | None = None) -> DataFrame:
+    """docs' columns (or only those named) with __score, all rows."""
     shipped = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kept = docs.columns if only is None else list(only)
+    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, (table, net) = _Codes(), shipped.value
         for batch in batches:
-            p = net.probabilities(pooled(batch.column(1).to_pylist(), table, codes))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], ["doc_id", "score"])
+            p = net.probabilities(pooled(batch.column(len(kept)).to_pylist(), table, codes))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(p)], [*kept, "__score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, T.StructField("__score", T.DoubleType())]))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all rows of docs."""
-    scored = score(docs, *fit(docs, labels))
-    return scored.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = scored(docs, *fit(docs, labels), only=("doc_id",))
+    p = F.col("__score")
+    return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), p.alias("score"), (p >= THRESHOLD).cast("int").alias("predicted"))
