@@ -25,7 +25,7 @@ START = [0.6, 0.4]
 TRANSITION = [[0.95, 0.05], [0.10, 0.90]]
 MEANS = [[0.3, -0.2], [-0.3, 0.4]]
 COVARIANCES = [[[1.0, 0.2], [0.2, 0.8]], [[1.2, -0.1], [-0.1, 1.1]]]
-FIXED = HMM(GAUSSIAN, np.array(START), np.array(TRANSITION), np.array(MEANS), np.array(COVARIANCES))
+FIXED = HMM(GAUSSIAN, np.array(START), np.array(TRANSITION), np.array(MEANS), np.array(COVARIANCES), log_likelihood=0.0)
 CUTOFF, AS_OF = dt.date(1999, 12, 31), dt.date(2000, 6, 15)
 REPLAY = (dt.date(1998, 1, 1), dt.date(1998, 6, 30))
 
