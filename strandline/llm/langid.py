@@ -31,7 +31,7 @@ MAX_LANGUAGES = 256
 SMOOTHING = 0.1
 ROUNDS = 12
 PENALTY = 2.0
-CHARS = 1 << 20
+CHARS = 1 << 18
 UNKNOWN = "und"
 _SPACE = np.uint32(32)
 
@@ -116,45 +116,56 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, counts)
 
 
-def _em(likelihood: np.ndarray, starts: np.ndarray, words: np.ndarray, of: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions (documents x languages) of the allowed languages, and each document's log-likelihood, up to a constant of the document."""
-    theta = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
+def _em(likelihood: np.ndarray, starts: np.ndarray, words: np.ndarray, of: np.ndarray, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From theta (languages x documents; 0 keeps a language out): fitted proportions, and each document's log-likelihood, up to a constant of the document."""
     for _ in range(ROUNDS):
-        joint = likelihood * theta[of].astype(np.float32)
-        joint /= joint.sum(axis=1, keepdims=True)
-        theta = np.add.reduceat(joint, starts, axis=0, dtype=np.float64) / words[:, None]
-    total = (likelihood * theta[of].astype(np.float32)).sum(axis=1)
+        joint = likelihood * theta[:, of].astype(np.float32)
+        joint /= joint.sum(axis=0)
+        theta = np.add.reduceat(joint, starts, axis=1, dtype=np.float64) / words
+    total = (likelihood * theta[:, of].astype(np.float32)).sum(axis=0)
     return theta, np.add.reduceat(np.log(total), starts, dtype=np.float64)
 
 
+def _mixture(likelihood: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Proportions (languages x documents) of each document's best language set. likelihood: languages x words."""
+    n_languages, n_docs = len(likelihood), len(words)
+    starts, of = np.cumsum(words) - words, np.repeat(np.arange(n_docs), words)
+    theta, everything = _em(likelihood, starts, words, of, np.full((n_languages, n_docs), 1 / n_languages))
+    order = np.argsort(-theta, axis=0, kind="stable")
+    price = PENALTY * np.log(words + 1) / 2
+    chosen, docs = np.zeros_like(theta), np.arange(n_docs)
+    chosen[order[0], docs] = 1
+    best = np.add.reduceat(np.log(likelihood[order[0][of], np.arange(len(of))]), starts, dtype=np.float64) - price
+    # No set is likelier than all languages together, so a document goes on only while that likelihood could pay for the set's size.
+    size, going = 2, np.flatnonzero(everything - 2 * price > best)
+    while len(going) and size <= n_languages:
+        own, n = likelihood[:, np.isin(of, going)], words[going]
+        first = np.zeros((n_languages, len(going)))
+        np.put_along_axis(first, order[:size, going], 1 / size, axis=0)
+        fitted, log_likelihood = _em(own, np.cumsum(n) - n, n, np.repeat(np.arange(len(going)), n), first)
+        value = log_likelihood - size * price[going]
+        better = value > best[going]
+        best[going[better]], chosen[:, going[better]] = value[better], fitted[:, better]
+        size += 1
+        going = going[everything[going] - size * price[going] > best[going]]
+    return chosen
+
+
 def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    n_languages = len(model.languages)
+    columns = np.ascontiguousarray(model.log_p.T)
     for piece in _pieces(texts):
         buckets, first, words = trigrams([texts[i] for i in piece])
-        if not len(first) or not n_languages:
+        if not len(first) or not len(columns):
             continue
-        log_p = np.add.reduceat(model.log_p[buckets], first, axis=0)
-        likelihood = np.maximum(np.exp(log_p - log_p.max(axis=1, keepdims=True)), np.float32(1e-30))
+        log_p = np.stack([np.add.reduceat(c[buckets], first) for c in columns])
+        likelihood = np.maximum(np.exp(log_p - log_p.max(axis=0)), np.float32(1e-30))
         full = np.flatnonzero(words)
-        n = words[full]
-        starts, of = np.cumsum(n) - n, np.repeat(np.arange(len(full)), n)
-        everything = np.ones((len(full), n_languages))
-        theta, _ = _em(likelihood, starts, n, of, everything)
-        order = np.argsort(-theta, axis=1, kind="stable")
-        rank = np.argsort(order, axis=1, kind="stable")
-        best, chosen = np.full(len(full), -np.inf), np.zeros_like(theta)
-        for size in range(1, n_languages + 1):
-            fitted, log_likelihood = _em(likelihood, starts, n, of, (rank < size).astype(float)) if size < n_languages else _em(likelihood, starts, n, of, everything)
-            value = log_likelihood - PENALTY * np.log(n + 1) * size / 2
-            better = value > best
-            best, chosen = np.where(better, value, best), np.where(better[:, None], fitted, chosen)
-            if size > 1 and not better.any():
-                break
-        top = chosen.argmax(axis=1)
+        chosen = _mixture(likelihood, words[full])
+        top = chosen.argmax(axis=0)
         for k, i in enumerate(full):
             names[piece[i]] = model.languages[top[k]]
-            scores[piece[i]] = min(1.0, max(0.0, float(chosen[k, top[k]])))
+            scores[piece[i]] = min(1.0, max(0.0, float(chosen[top[k], k])))
     return names, scores
 
 
