@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 SAMPLE = 20_000
 CALIBRATION = 5
 THRESHOLD = 0.3
-TOKENS = 1 << 20
+#: Characters handled at once; a longer text is handled by itself.
+CONTEXT_CHARS, POOL_CHARS = 1 << 22, 1 << 17
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _RUNS = re.compile(r"(.)\1+")
@@ -52,16 +54,30 @@ def outline(word: str) -> str:
 
 
 class _Codes(dict):
-    """word -> its row times SHAPES plus its outline's row; remembers LIMIT words at most."""
+    """word -> its row times SHAPES plus its outline's row. LIMIT words are remembered; then it starts over, and frequent words are back soon."""
 
-    LIMIT = 1 << 17
+    LIMIT = 1 << 18
+
+    def __init__(self) -> None:
+        self.shapes: dict[str, int] = {}
+
+    def _shape(self, shape: str) -> int:
+        found = self.shapes.get(shape)
+        if found is None:
+            found = 1 + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1)
+            if len(self.shapes) < self.LIMIT:
+                self.shapes[shape] = found
+        return found
 
     def __missing__(self, word: str) -> int:
-        row = xxhash.xxh3_64_intdigest(word.lower()) % WORDS
-        shape = 1 + xxhash.xxh3_64_intdigest(outline(word)) % (SHAPES - 1)
-        code = row * SHAPES + shape
-        if len(self) < self.LIMIT:
-            self[word] = code
+        body, last = (word, "") if word.isalpha() else (word[:-1], word[-1])
+        # Letters, or letters and one mark, are most words; the others take the general way.
+        plain = body.isalpha() and not last.isalnum() and last != "_"
+        shape = ("X" if len(body) > 1 and body.isupper() else "x") + last if plain else outline(word)
+        code = xxhash.xxh3_64_intdigest(word.lower()) % WORDS * SHAPES + self._shape(shape)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = code
         return code
 
 
@@ -72,23 +88,22 @@ def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
 
 
 def rows_of(texts: list[str | None], codes: _Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of all words, rows of their outlines, and the number of words of each text."""
+    """Rows of all words in the word table, of their outlines in the outline table, and the number of words of each text."""
     words = [(t or "").split() for t in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
-    code = np.fromiter((codes[w] for ws in words for w in ws), np.int64, int(counts.sum()))
+    code = np.fromiter(map(codes.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
     word, shape = code // SHAPES, code % SHAPES
-    starts = np.cumsum(counts) - counts
     again = np.zeros(len(code), bool)
     again[1:] = word[1:] == word[:-1]
-    again[starts[(starts < len(code)) & (counts > 0)]] = False
-    return word, WORDS + np.where(again, REPEATED, shape), counts
+    again[(np.cumsum(counts) - counts)[counts > 0]] = False
+    return word, np.where(again, REPEATED, shape), counts
 
 
-def _pieces(texts: list[str | None]) -> Iterator[slice]:
+def _pieces(texts: list[str | None], chars: int) -> Iterator[slice]:
     start, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size > 4 * TOKENS and i > start:
+        if size > chars and i > start:
             yield slice(start, i)
             start, size = i, len(text or "")
     if start < len(texts):
@@ -97,20 +112,25 @@ def _pieces(texts: list[str | None]) -> Iterator[slice]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codes, (places, signs) = _Codes(), _index_vectors()
-    total = np.zeros(ROWS * DIMENSIONS)
+    # Words: counts of (word, entry, sign) of the neighbours. Outlines are few: counts of neighbouring pairs, multiplied out at the end.
+    cell = places * 2 + (signs > 0)
+    counts_of, pairs = np.zeros(WORDS * DIMENSIONS * 2, np.int64), np.zeros(SHAPES * SHAPES, np.int64)
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for piece in _pieces(texts):
+        for piece in _pieces(texts, CONTEXT_CHARS):
             word, shape, counts = rows_of(texts[piece], codes)
             ends = np.cumsum(counts)
             joined = np.ones(max(len(word) - 1, 0), bool)
             joined[ends[(ends > 0) & (ends < len(word))] - 1] = False
-            for rows in (word, shape):
-                left, right = rows[:-1][joined], rows[1:][joined]
-                for me, other in ((left, right), (right, left)):
-                    for k in range(NONZERO):
-                        total += np.bincount(me * DIMENSIONS + places[other, k], signs[other, k], ROWS * DIMENSIONS)
-    total = total.astype(np.int64).reshape(ROWS, DIMENSIONS)
+            left, right = word[:-1][joined], word[1:][joined]
+            for me, other in ((left, right), (right, left)):
+                for k in range(NONZERO):
+                    counts_of += np.bincount(me * (2 * DIMENSIONS) + cell[other, k], minlength=len(counts_of))
+            pairs += np.bincount(shape[:-1][joined] * SHAPES + shape[1:][joined], minlength=len(pairs))
+    split = counts_of.reshape(WORDS, DIMENSIONS, 2)
+    index, square = np.zeros((SHAPES, DIMENSIONS), np.int64), pairs.reshape(SHAPES, SHAPES)
+    np.put_along_axis(index, places[WORDS:], signs[WORDS:].astype(np.int64), axis=1)
+    total = np.vstack([split[:, :, 1] - split[:, :, 0], (square + square.T) @ index])
     at = np.flatnonzero(total.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(c) for c in np.ascontiguousarray(total[at].T))], ["row", *(f"c{k}" for k in range(DIMENSIONS))])
 
@@ -128,18 +148,17 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 def pooled(texts: list[str | None], vectors: np.ndarray, codes: _Codes) -> np.ndarray:
     """A row for each text: mean word vector, mean and mean square of outline vectors, logarithm of the number of words."""
-    out = np.zeros((len(texts), 3 * DIMENSIONS + 1), np.float32)
-    for piece in _pieces(texts):
+    out, outlines = np.zeros((len(texts), 3 * DIMENSIONS + 1), np.float32), vectors[WORDS:]
+    for piece in _pieces(texts, POOL_CHARS):
         word, shape, counts = rows_of(texts[piece], codes)
         full = np.flatnonzero(counts)
         if not len(full):
             continue
-        starts, n = (np.cumsum(counts) - counts)[full], counts[full, None]
-        # Sums over words as sums over cells of (text, row) pairs would be sparse; reduceat over the gathered rows is plain and exact enough.
-        a = np.add.reduceat(vectors[word], starts, axis=0)
-        outlines = vectors[shape]
-        b, c = np.add.reduceat(outlines, starts, axis=0), np.add.reduceat(outlines * outlines, starts, axis=0)
-        out[piece][full] = np.hstack([a / n, b / n, c / n, np.log1p(n)])
+        n = counts[full]
+        of = np.repeat(np.arange(len(full)), n)
+        histogram = np.bincount(of * SHAPES + shape, minlength=len(full) * SHAPES).reshape(len(full), SHAPES).astype(np.float32)
+        sums = [np.add.reduceat(vectors[word], np.cumsum(n) - n, axis=0), histogram @ outlines, histogram @ (outlines * outlines)]
+        out[piece][full] = np.hstack([*(s / n[:, None] for s in sums), np.log1p(n)[:, None]])
     return out
 
 
