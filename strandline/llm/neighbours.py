@@ -4,9 +4,9 @@ Index. Vectors are dealt into cells around centroids. Of each, what remains besi
 rotated at random, and kept as one sign bit a dimension, with correction scalars: its length, its inner product with the
 centroid, and the inner product of the code with what it stands for.
 
-Search. A query visits the cells whose centroids promise most. There, rotated and rounded to QUERY_BITS, its inner
-products with packed codes are counts of common bits; the scalars turn them into estimates, each with an error bound.
-Only vectors whose upper bound reaches the k-th best lower bound are measured on the original vectors.
+Search. A query visits the cells whose centroids promise most. There the signs that a vector's packed bits stand for and
+its scalars give an estimate of the inner product and an error bound. Only vectors whose upper bound reaches the query's
+floor, its k-th best score in the sample, are measured on the original vectors.
 
 Fitted on SAMPLE vectors at most (those of the smallest id hashes): centroids, and how many cells a query visits, such
 that a share RECALL of the sample's true neighbours lies in them. Every vector is indexed. Cells are processed in blocks
@@ -33,13 +33,14 @@ K = 20
 SAMPLE = 16_384
 SAMPLE_QUERIES = 512
 RECALL = 0.99
-VECTORS_PER_CELL = 2_048
+VECTORS_PER_CELL = 4_096
 MAX_CELLS = 1_024
 BLOCK = 8_192
 QUERIES_PER_BLOCK = 1_024
-QUERY_BITS = 6
-#: Estimates miss by less than this many of their standard deviations, with near certainty.
-EPSILON = 3.0
+#: Bounds are so many standard deviations of the estimate wide; 99 of 100 neighbours lie within.
+EPSILON = 2.4
+#: For rounding of single-precision bounds.
+SLACK = 1e-4
 
 
 class Plan:
@@ -52,6 +53,7 @@ class Plan:
         cells = int(max(1, min(MAX_CELLS, n // VECTORS_PER_CELL, len(sample) // 16)))
         self.centroids = _k_means(sample, cells, rng)
         self.visits = self._visits(sample, rng)
+        self.sample = sample.astype(np.float32)
 
     def _visits(self, sample: np.ndarray, rng: np.random.Generator) -> int:
         cells = len(self.centroids)
@@ -68,6 +70,13 @@ class Plan:
     def cell_of(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([np.argmin((self.centroids**2).sum(axis=1) - 2 * part @ self.centroids.T, axis=1) for part in np.array_split(x, max(1, len(x) // 8192))]) if len(x) else np.empty(0, int)
 
+    def floors(self, q: np.ndarray, k: int) -> np.ndarray:
+        """What each query's k-th best score can't be below: its k-th best in the sample, itself aside."""
+        if len(self.sample) <= k:
+            return np.full(len(q), -np.inf)
+        parts = np.array_split(q.astype(np.float32), max(1, len(q) // 256))
+        return np.concatenate([-np.partition(-(p @ self.sample.T), k, axis=1)[:, k] for p in parts]).astype(float)
+
     def visited(self, q: np.ndarray) -> np.ndarray:
         return np.argsort(-(q @ self.centroids.T), axis=1, kind="stable")[:, : self.visits]
 
@@ -83,39 +92,29 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
 
 
 class Codes:
-    """One-bit codes of vectors around a centroid."""
+    """One-bit codes of vectors around a centroid, with what corrects their inner products."""
 
     def __init__(self, vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> None:
         rest = vectors - centroid
-        self.length = np.linalg.norm(rest, axis=1)
-        turned = rest @ rotation / np.maximum(self.length, 1e-12)[:, None]
-        d = self.dimensions = vectors.shape[1]
+        length = np.linalg.norm(rest, axis=1)
+        turned = rest @ rotation / np.maximum(length, 1e-12)[:, None]
+        self.dimensions = d = vectors.shape[1]
         self.bits = _packed(turned > 0)
-        self.share = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(d), 1e-6)  # <code, vector>
-        self.to_centroid = vectors @ centroid
-        self.ones = np.bitwise_count(self.bits).sum(axis=1).astype(float)
-
-    def estimate(self, queries: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Estimated inner products with the vectors and their error bounds, queries x vectors."""
-        d = self.dimensions
-        q = queries @ rotation
-        low = q.min(axis=1, keepdims=True)
-        step = np.maximum((q.max(axis=1, keepdims=True) - low) / (2**QUERY_BITS - 1), 1e-12)
-        rounded = np.rint((q - low) / step).astype(np.int64)
-        common = np.zeros((len(q), len(self.bits)))
-        for b in range(QUERY_BITS):
-            plane = _packed((rounded >> b) & 1 == 1)
-            for word in range(self.bits.shape[1]):
-                common += np.float64(1 << b) * np.bitwise_count(plane[:, word, None] & self.bits[None, :, word])
-        # <sign vector / sqrt(d), query> from the bits that are set.
-        total = low * d + step * rounded.sum(axis=1, keepdims=True)
-        product = (2 * (low * self.ones + step * common) - total) / np.sqrt(d)
-        base = queries @ centroid
-        estimate = base[:, None] + self.length * product / self.share
-        norm = np.linalg.norm(q, axis=1)[:, None]
-        spread = np.sqrt(np.maximum(1 - self.share**2, 0)) / self.share / np.sqrt(max(d - 1, 1))
-        rounding = step * np.sqrt(d) / 2 / self.share
-        return estimate, self.length * (EPSILON * norm * spread + rounding)
+        share = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(d), 1e-6)  # <code, vector>
+        #: What one unit of <query, code> stands for, and how far, for a query of length one, the estimate may be off.
+        self.factor = (length / share / np.sqrt(d)).astype(np.float32)
+        self.error = (EPSILON * length * np.sqrt(np.maximum(1 - share**2, 0)) / share / np.sqrt(max(d - 1, 1))).astype(np.float32)
+
+    def bounds(self, queries: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Upper bounds of inner products, queries x vectors, and the errors within: the estimate is upper minus error.
+
+        Base, scaled signs and error are one matrix, so that a block's bounds are one product.
+        """
+        signs = np.unpackbits(self.bits.view(np.uint8), axis=1)[:, : self.dimensions].astype(np.float32) * 2 - 1
+        ours = np.hstack([signs * self.factor[:, None], np.ones((len(signs), 1), np.float32), self.error[:, None]])
+        norm = np.linalg.norm(queries, axis=1)[:, None]
+        theirs = np.hstack([queries @ rotation, (queries @ centroid)[:, None], norm]).astype(np.float32)
+        return theirs @ ours.T, norm * self.error
 
 
 def _packed(bits: np.ndarray) -> np.ndarray:
@@ -125,25 +124,25 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.uint64)
 
 
-def _best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, k: int) -> pd.DataFrame:
+def _best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of a block for each query, among those that reach the query's floor."""
     codes, out = Codes(vectors, centroid, rotation), []
-    for start in range(0, len(queries), 128):
-        q, qi = queries[start : start + 128], query_ids[start : start + 128]
-        estimate, bound = codes.estimate(q, centroid, rotation)
-        other = ids[None, :] != qi[:, None]
-        lower = np.where(other, estimate - bound, -np.inf)
-        floor = -np.partition(-lower, min(k, lower.shape[1]) - 1, axis=1)[:, min(k, lower.shape[1]) - 1]
-        rows, cols = np.nonzero(other & (estimate + bound >= floor[:, None]))
+    for start in range(0, len(queries), 256):
+        part = slice(start, start + 256)
+        q, qi = queries[part], query_ids[part]
+        upper, _ = codes.bounds(q, centroid, rotation)
+        rows, cols = np.nonzero(upper >= (floors[part, None] - SLACK).astype(np.float32))
         exact = np.empty(len(rows))
-        for a in range(0, len(rows), 65_536):
-            b = slice(a, a + 65_536)
+        for a in range(0, len(rows), 16_384):
+            b = slice(a, a + 16_384)
             exact[b] = (q[rows[b]] * vectors[cols[b]]).sum(axis=1)
+        good = (exact >= floors[part][rows] - SLACK) & (ids[cols] != qi[rows])
+        rows, cols, exact = rows[good], cols[good], exact[good]
         order = np.lexsort((ids[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
-        first = np.searchsorted(rows, rows)
-        top = np.arange(len(rows)) - first < k
+        top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
         out.append(pd.DataFrame({"query_id": qi[rows[top]], "vec_id": ids[cols[top]], "score": exact[top]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+    return pd.concat(out)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -170,8 +169,13 @@ def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", em
     def visited(x: pd.Series) -> pd.Series:
         return pd.Series(list(shipped.value.visited(np.stack(x.to_numpy())).astype(np.int32))) if len(x) else pd.Series([], dtype=object)
 
+    @F.pandas_udf(T.DoubleType())
+    def floor_of(x: pd.Series) -> pd.Series:
+        return pd.Series(shipped.value.floors(np.stack(x.to_numpy()), k)) if len(x) else pd.Series([], dtype=float)
+
     indexed = materialize(rows.withColumn("cell", cell_of("v")), "vectors")
-    asked = materialize(indexed.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", F.explode(visited("v")).alias("cell")), "queries")
+    asked = materialize(indexed.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", floor_of("v").alias("floor"), visited("v").alias("cells")), "queries")
+    asked = asked.select("query_id", "v", "floor", F.explode("cells").alias("cell"))
     # Both are MAX_CELLS rows at most.
     held = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("v_blocks"))
     wanted = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).alias("q_blocks"))
@@ -184,10 +188,10 @@ def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", em
         if not len(vs) or not len(qs):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         p = shipped.value
-        return _best(qs["query_id"].to_numpy(), np.stack(qs["v"].to_numpy()), vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()), p.centroids[int(key[0])], p.rotation, k)
+        return _best(qs["query_id"].to_numpy(), np.stack(qs["v"].to_numpy()), qs["floor"].to_numpy(), vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()), p.centroids[int(key[0])], p.rotation, k)
 
     by = ("cell", "vb", "qb")
-    found = left.select(*by, "vec_id", "v").groupBy(*by).cogroup(right.select(*by, "query_id", "v").groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = left.select(*by, "vec_id", "v").groupBy(*by).cogroup(right.select(*by, "query_id", "v", "floor").groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
     # Every block gives k rows for a query at most, so the rows of a query are bounded by k times the blocks it visits.
     merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     out = merged.select("query_id", F.posexplode("best").alias("at", "b"))
