@@ -1,5 +1,7 @@
 """WARC archives, index first.
 
+Each record is a gzip member of its own, as is usual for .warc.gz, so a record is read without those before it.
+
 Writing: each task streams its pages into archive files in the shared folder and returns an index row per record (file,
 offset, length, URL, digest), which is written as a table. Equal payloads are found by digest: the record of the largest
 page_id is the response, the others revisit it and carry no payload. A retried task writes files of a new name; the
@@ -18,6 +20,7 @@ ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, new_folder
 
 MIN_BYTES = 0
-FILE_BYTES = 1 << 30
+FILE_BYTES, LEVEL = 1 << 30, 6
 BLOCK, GAP, READ = 8 << 20, 64 << 10, 8 << 20
 #: WARC asks for a date; a fixed one keeps reruns equal.
 DATE = "2024-01-01T00:00:00Z"
@@ -48,7 +51,7 @@ def _urn(page_id: int | None) -> str:
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
-    """One WARC/1.1 record. A revisit's block is empty; its own field tells the full payload's length."""
+    """One WARC/1.1 record, compressed. A revisit's block is empty; its own field tells the full payload's length."""
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", _urn(page_id)),
@@ -65,10 +68,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
     block = b"" if revisit else payload
     fields.append(("Content-Length", str(len(block))))
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields)
-    return head.encode() + b"\r\n" + block + b"\r\n\r\n"
+    return gzip.compress(head.encode() + b"\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
+    data = gzip.decompress(data)
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = {k.decode(): v.decode() for k, v in _FIELD.findall(head)}
     n = int(fields["Content-Length"])
@@ -105,8 +109,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFram
                     if out is None or at and at + len(data) > FILE_BYTES:
                         if out is not None:
                             out.close()
-                        name, at = f"{uuid.uuid4().hex}.warc", 0
-                        out = store.open_output_stream(f"{path}/{name}")
+                        name, at = f"{uuid.uuid4().hex}.warc.gz", 0
+                        out = store.open_output_stream(f"{path}/{name}", compression=None)
                     out.write(data)
                     index.append((page_id, name, at, len(data), url, sha1))
                     at += len(data)
