@@ -90,36 +90,82 @@ def component_log_densities(x: np.ndarray, m: HMM) -> np.ndarray:
     return out
 
 
+def _steps(e: np.ndarray, transition: np.ndarray) -> np.ndarray:
+    """Transition-and-emission matrices of rows 1 to n - 1, in blocks of equal length (blocks x length x K x K), the last filled up with identities."""
+    n, k = len(e) - 1, e.shape[1]
+    length = max(1, math.isqrt(max(n, 1)))
+    blocks = max(1, -(-n // length))
+    m = np.empty((blocks * length, k, k))
+    m[:n] = transition * e[1:, None, :]
+    m[n:] = np.eye(k)
+    return m.reshape(blocks, length, k, k)
+
+
+def _normalised(v: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
+    total = v.sum(axis=axes, keepdims=True)
+    if not (total > 0).all():
+        raise FloatingPointError("no state explains a row")
+    return v / total
+
+
+def _alphas(first: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
+    """Filtered probabilities of n rows. The recursion runs along all blocks at once, then over the blocks: about 2 sqrt(n) steps for n rows."""
+    blocks, length, k, _ = m.shape
+    products, current = np.empty_like(m), np.repeat(np.eye(k)[None], blocks, axis=0)
+    for j in range(length):
+        current = _normalised(current @ m[:, j], (1, 2))
+        products[:, j] = current
+    entry = np.empty((blocks, k))
+    entry[0] = first
+    for b in range(1, blocks):
+        entry[b] = _normalised(entry[b - 1] @ products[b - 1, -1], (0,))
+    rest = _normalised(np.einsum("bk,bjkl->bjl", entry, products), (2,)).reshape(-1, k)
+    return np.vstack([first[None], rest[: n - 1]])
+
+
+def _betas(m: np.ndarray, n: int) -> np.ndarray:
+    """What the rows after each row say about its state, up to a factor for each row."""
+    blocks, length, k, _ = m.shape
+    products, current = np.empty_like(m), np.repeat(np.eye(k)[None], blocks, axis=0)
+    for j in range(length - 1, -1, -1):
+        current = _normalised(m[:, j] @ current, (1, 2))
+        products[:, j] = current
+    out = np.empty((blocks, k))
+    out[-1] = 1
+    for b in range(blocks - 2, -1, -1):
+        out[b] = _normalised(products[b + 1, 0] @ out[b + 1], (0,))
+    rest = _normalised(np.einsum("bjkl,bl->bjk", products, out), (2,)).reshape(-1, k)
+    return np.vstack([rest[: n - 1], np.ones((1, k))])
+
+
 def forward(log_e: np.ndarray, start: np.ndarray, transition: np.ndarray, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Causal filter: probabilities of each row given the rows up to it, and each row's log-likelihood increment.
 
     The first row's prior is start or, when alpha continues an earlier filter, alpha times the transition matrix.
     """
-    out, increments = np.empty_like(log_e), np.empty(len(log_e))
+    n = len(log_e)
+    if not n:
+        return np.empty_like(log_e), np.empty(0)
+    top = log_e.max(axis=1)
+    e = np.exp(log_e - top[:, None])
     prior = start if alpha is None else alpha @ transition
-    for t in range(len(log_e)):
-        top = log_e[t].max()
-        w = prior * np.exp(log_e[t] - top)
-        total = w.sum()
-        if not total > 0:
-            raise FloatingPointError("no state explains a row")
-        out[t] = w / total
-        increments[t] = top + math.log(total)
-        prior = out[t] @ transition
-    return out, increments
+    out = _alphas(_normalised(prior * e[0], (0,)), _steps(e, transition), n)
+    expected = np.vstack([prior[None], out[:-1] @ transition])
+    return out, top + np.log((expected * e).sum(axis=1))
 
 
 def expectation(log_e: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Smoothed state probabilities, summed transition counts, and the log-likelihood."""
-    alpha, increments = forward(log_e, start, transition)
     n, k = log_e.shape
-    beta, xi = np.ones((n, k)), np.zeros((k, k))
-    for t in range(n - 2, -1, -1):
-        ahead = np.exp(log_e[t + 1] - increments[t + 1]) * beta[t + 1]
-        beta[t] = transition @ ahead
-        xi += alpha[t][:, None] * transition * ahead
-    gamma = alpha * beta
-    return gamma / gamma.sum(axis=1, keepdims=True), xi, float(increments.sum())
+    top = log_e.max(axis=1)
+    e = np.exp(log_e - top[:, None])
+    m = _steps(e, transition)
+    alpha, beta = _alphas(_normalised(start * e[0], (0,)), m, n), _betas(m, n)
+    expected = np.vstack([start[None], alpha[:-1] @ transition])
+    ll = float((top + np.log((expected * e).sum(axis=1))).sum())
+    joint = alpha[:-1, :, None] * m.reshape(-1, k, k)[: n - 1] * beta[1:, None, :]
+    xi = _normalised(joint, (1, 2)).sum(axis=0) if n > 1 else np.zeros((k, k))
+    return _normalised(alpha * beta, (1,)), xi, ll
 
 
 def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:

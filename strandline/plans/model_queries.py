@@ -181,9 +181,7 @@ def q_publish_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIT_COLUMNS = ["price", "discount", "quantity"]
-FIT_SEEDS = (11, 23, 37)
-#: The days hold no regimes, so these fits would creep along; a coarser tolerance ends them.
-ROUNDS, TOLERANCE = 150, 0.05
+FIT_SEEDS = multistart.SEEDS
 
 
 def _days(spark: SparkSession, sf_dir: str, columns: list[str] = FIT_COLUMNS) -> np.ndarray:
@@ -195,7 +193,7 @@ def _days(spark: SparkSession, sf_dir: str, columns: list[str] = FIT_COLUMNS) ->
 def _fit(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     x = _days(spark, sf_dir)
     n = int(len(x) * 0.8)
-    out = multistart.run(spark, x, [multistart.Job(family, (0, 1, 2), n, len(x) - n, 2, family)], FIT_SEEDS, ROUNDS, TOLERANCE)
+    out = multistart.run(spark, x, [multistart.Job(family, (0, 1, 2), n, len(x) - n, 2, family)], FIT_SEEDS)
     return out.select("job", "seed", "ok", "reason", "ll", "test_ll", "test_n")
 
 
@@ -218,7 +216,7 @@ def q_hmm_fit_student_t(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_multistart(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _days(spark, sf_dir)
     jobs = [multistart.Job(f"k{k}", (0, 2), len(x), 0, k) for k in (2, 3)]
-    return multistart.winners(multistart.run(spark, x, jobs, FIT_SEEDS, ROUNDS, TOLERANCE), 1, 0.3).drop("model")
+    return multistart.winners(multistart.run(spark, x, jobs, FIT_SEEDS)).drop("model")
 
 
 def _evaluate(spark: SparkSession, x: np.ndarray, states: int):
@@ -226,7 +224,7 @@ def _evaluate(spark: SparkSession, x: np.ndarray, states: int):
 
     def evaluate(subsets: list[tuple[str, ...]]) -> list[float | None]:
         jobs = [multistart.Job("|".join(s), tuple(FIT_COLUMNS.index(f) for f in s), n, len(x) - n, states) for s in subsets]
-        found = {r["job"]: r for r in multistart.winners(multistart.run(spark, x, jobs, FIT_SEEDS[:1], ROUNDS, TOLERANCE), 1, 0.0).collect()}
+        found = {r["job"]: r for r in multistart.winners(multistart.run(spark, x, jobs, FIT_SEEDS[:3]), 1, 0.0).collect()}
         base = {s: refit.single_normal(x[:, [FIT_COLUMNS.index(f) for f in s]], n, len(x) - n) for s in subsets}
         return [0.5 + 0.5 * math.tanh(found["|".join(s)]["test_ll"] / found["|".join(s)]["test_n"] - base[s]) if found["|".join(s)]["test_n"] else None for s in subsets]
 

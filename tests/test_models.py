@@ -23,6 +23,33 @@ def test_equal_emissions_leave_the_chain():
     np.testing.assert_allclose(p, [[0.7, 0.3], [0.69, 0.31]], atol=1e-15)
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 257])
+def test_blocks_equal_the_plain_recursion(n):
+    rng = np.random.default_rng(n)
+    e, a, start = rng.normal(0, 20, (n, 3)), rng.dirichlet([1, 1, 1], 3), np.array([0.2, 0.5, 0.3])
+    p, inc = hmm.forward(e, start, a)
+    gamma, xi, ll = hmm.expectation(e, start, a)
+    prior, alphas = start, []
+    for t in range(n):
+        w = prior * np.exp(e[t] - e[t].max())
+        np.testing.assert_allclose(p[t], w / w.sum(), atol=1e-12)
+        assert inc[t] == pytest.approx(e[t].max() + np.log(w.sum()))
+        alphas.append(w / w.sum())
+        prior = alphas[-1] @ a
+    beta, smooth, counts = np.ones(3), [None] * n, np.zeros((3, 3))
+    for t in range(n - 1, -1, -1):
+        g = alphas[t] * beta
+        smooth[t] = g / g.sum()
+        if t:
+            w = np.exp(e[t] - e[t].max()) * beta
+            j = alphas[t - 1][:, None] * a * w
+            counts += j / j.sum()
+            beta = a @ w / (a @ w).sum()
+    np.testing.assert_allclose(gamma, smooth, atol=1e-10)
+    np.testing.assert_allclose(xi, counts, atol=1e-8)
+    assert ll == pytest.approx(inc.sum())
+
+
 def test_continuing_equals_one_run_and_differs_from_a_restart():
     x, _ = two_regimes(60)
     m = hmm.fit(x, 2)
