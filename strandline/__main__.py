@@ -1,4 +1,4 @@
-"""python -m strandline evaluate|refit|register|promote|status: the operations over a Parquet panel and a registry folder."""
+"""python -m strandline evaluate|refit|cycle|promote|status: the operations over a Parquet panel and a registry folder."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import os
 import sys
 from pathlib import Path
 
+from .plans.cycle import run_cycle
 from .plans.refit import Settings, final_refit, run_monthly
 from .session import session
 from .sources.registry import Registry, package
@@ -16,14 +17,16 @@ from .sources.registry import Registry, package
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="strandline")
     sub = p.add_subparsers(dest="action", required=True)
-    for name in ("evaluate", "refit", "promote", "status"):
+    for name in ("evaluate", "refit", "cycle", "promote", "status"):
         s = sub.add_parser(name)
         s.add_argument("--profile", required=True)
         s.add_argument("--registry", required=True)
-        if name in ("evaluate", "refit"):
+        if name in ("evaluate", "refit", "cycle"):
             s.add_argument("--panel", required=True)
             s.add_argument("--features", required=True, help="comma-separated")
             s.add_argument("--states", type=int, default=2)
+        if name == "cycle":
+            s.add_argument("--builds", required=True)
         if name == "promote":
             s.add_argument("--version", type=int, required=True)
             s.add_argument("--expected", type=int)
@@ -48,6 +51,9 @@ def main(argv: list[str] | None = None) -> int:
         if a.action == "evaluate":
             for r in run_monthly(spark, panel, Settings(core=tuple(features), state_counts=(a.states,))):
                 print(json.dumps({"fold": r.fold_id, "valid": r.valid, "reason": r.reason, "selected": r.selected, "test_ll": r.test_ll, "package": r.package}))
+        elif a.action == "cycle":
+            o = run_cycle(spark, panel, Settings(core=tuple(features), state_counts=(a.states,)), registry, a.profile, a.builds)
+            print(json.dumps({"changed": o.changed, "version": o.version, "build": o.build, "valid_folds": o.valid_folds}))
         else:
             r = final_refit(spark, panel, features, a.states)
             pack = package(r["model"], features, r["scaler"], r["trained_through"].isoformat(), r["alpha"], {"panel": a.panel, "rows": r["rows"]})
