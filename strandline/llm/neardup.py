@@ -6,12 +6,11 @@
 2. Texts with one set collapse into one class, represented by its smallest doc_id.
 3. Bands of ROWS values deal representatives into buckets. A bucket's members are compared with its smallest id only,
    so a bucket of k members gives k - 1 candidates. One bit of each signature value estimates the similarity first.
-4. Candidates are verified on full shingle sets, made again from the texts: each leader's set is held while its members
-   stream by, in salted portions.
-5. Union-find: connected components over the links. Buckets that still hold several components go on: while their cross
-   pairs outnumber PAIRS_PER_ROW times the rows, their next smallest ids lead a round each; then the pairs between
-   different components that the sketch admits are verified. A bucket is left only when its members are one component
-   or all pairs between its components have been compared.
+4. Candidates are verified on full shingle sets, made again from the texts.
+5. Union-find: connected components over the links. Members of a bucket that are one component by now need nothing more.
+   Other buckets are compared once more with a central member (the one most like the leader), and components are joined.
+   Documents that share a bucket with another component even then are joined exactly, by a prefix filter over their
+   shingles, so that no pair that shares a bucket is left undecided, and none is compared only for sharing one.
 
 Defined results: a null, empty or blank text has no shingle, links with nothing and is kept; equal sets are linked
 whatever the texts; rows with a repeated doc_id are one document in the component of each text; a null doc_id joins its
@@ -27,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -38,8 +38,7 @@ BANDS = SIGNATURE // ROWS
 PERCENT = 75
 #: A pair is dropped unverified if more sketch bits differ. At a similarity of 0.75, 16 differ on average, by 3.7; 36 are five deviations off.
 SKETCH_BITS = 36
-MEMBERS_PER_PORTION = 256
-PAIRS_PER_ROW = 2
+CHUNK = 64
 _STEPS = np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -84,20 +83,21 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lead, portion, id, text), each portion's leader first -> (a, b) of the pairs whose sets are similar enough."""
-    hashes, lead, held = WordHashes(), None, np.empty(0, np.uint64)
+    """Rows (cell, a, b, text), a cell's texts (b null) before its pairs -> (a, b, shared, total) shingles of each pair. Only one cell's sets are held."""
+    hashes, cell, held = WordHashes(), None, {}
     for batch in batches:
-        a, b = [], []
-        for key, member, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            s = shingle_set(text.as_py(), hashes)
-            if member == key:
-                lead, held = key, s
-            elif key == lead:
-                both = len(np.intersect1d(held, s, assume_unique=True))
-                if both and 100 * both >= PERCENT * (len(held) + len(s) - both):
-                    a.append(key)
-                    b.append(member)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        found = []
+        for key, a, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+            if key != cell:
+                cell, held = key, {}
+            if b is None:
+                held[a] = shingle_set(text.as_py(), hashes)
+            else:
+                x, y = held[a], held[b]
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                found.append((a, b, shared, len(x) + len(y) - shared))
+        columns = [pa.array([f[k] for f in found], pa.int64()) for k in range(4)]
+        yield pa.RecordBatch.from_arrays(columns, ["a", "b", "shared", "total"])
 
 
 def _alike(a: str, b: str):
@@ -107,14 +107,72 @@ def _alike(a: str, b: str):
     return (differ <= SKETCH_BITS) & (F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets are similar. texts: (doc_id, text) with the representatives' texts."""
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS_PER_PORTION).alias("portions"))
-    members = pairs.join(counts, "a").select(F.col("a").alias("lead"), F.pmod(F.xxhash64("b"), F.col("portions")).alias("portion"), F.col("b").alias("id"))
-    leaders = members.select("lead", "portion", F.col("lead").alias("id")).distinct()
-    needed = members.union(leaders).join(texts, F.col("id") == F.col("doc_id")).select("lead", "portion", "id", "text")
-    needed = needed.repartition("lead", "portion").sortWithinPartitions("lead", "portion", F.col("id") != F.col("lead"))
-    return needed.mapInArrow(_compared, "a long, b long")
+def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total) of different pairs (g, a, b), from full sets. texts: (doc_id, text) with the representatives' texts.
+
+    A group's documents are dealt into chunks, and its pairs into cells of two chunks, so that a text travels once for
+    each cell, not for each pair, and a cell holds 2 * CHUNK sets on average, however large the group.
+    """
+    chunks = pairs.groupBy("g").agg(F.ceil(F.count_distinct("b") / CHUNK).alias("n"))
+    of = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
+    cells = pairs.join(chunks, "g").select(F.xxhash64("g", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell"), "a", "b")
+    members = cells.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
+    read = members.join(texts, F.col("a") == F.col("doc_id")).select("cell", "a", F.lit(None).cast("long").alias("b"), "text")
+    rows = read.union(cells.select("cell", "a", "b", F.lit(None).cast("binary")))
+    rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
+    return rows.mapInArrow(_compared, "a long, b long, shared long, total long")
+
+
+def _similar():
+    return F.col("shared") * 100 >= F.col("total") * PERCENT
+
+
+def _unsettled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(key, id, lead, component) of the buckets whose members, the leader aside (it was compared with all), are of several components."""
+    marked = buckets.filter("id <> lead").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    still = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return materialize(marked.join(still.select("key"), "key").select("key", "id", "lead", "component"), "unsettled")
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = WordHashes()
+    for batch in batches:
+        sets = [shingle_set(t.as_py(), hashes).view(np.int64) for t in batch.column(1)]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
+
+
+def _prefix_pairs(unsettled: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(g, a, b): every pair of unsettled documents of different components that can be similar.
+
+    Exact prefix filter: with shingles in one order for all, rarest first, two sets of size n and m that share 75 of 100
+    have a shingle in common among the first n - ceil(0.75 n) + 1 and m - ceil(0.75 m) + 1, and the first that they share
+    stands early enough for the rest to suffice. Copies with many edits of their own have those first, so a large group
+    of loose copies gives few pairs. In each shingle's list the largest component is compared with the others only.
+    """
+    ids = materialize(unsettled.groupBy("id").agg(F.min("lead").alias("g"), F.min("component").alias("component")), "unsettled-ids")
+    read = ids.select("id").join(texts, F.col("id") == F.col("doc_id")).select("id", "text").dropDuplicates(["id"])
+    listed = materialize(read.mapInArrow(_listed, "id long, shingles array<long>"), "shingles")
+    long = listed.select("id", F.explode("shingles").alias("s"))
+    frequent = long.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    n = F.size("shingles")
+    sizes = listed.select("id", (n - F.ceil(n * PERCENT / 100) + 1).alias("prefix"), n.alias("n"))
+    # Shingles of one document only come first and pair nothing: they only use up the prefix.
+    shared = long.join(frequent, "s")
+    rank, alone = F.row_number().over(W.partitionBy("id").orderBy("df", "s")), F.col("n") - F.count("*").over(W.partitionBy("id"))
+    tokens = shared.join(sizes, "id").withColumn("rank", rank).withColumn("alone", alone).filter("rank + alone <= prefix").select("s", "id", (F.col("n") - F.col("rank") - F.col("alone")).alias("after"))
+    tokens = tokens.join(ids, "id")
+    parts = tokens.groupBy("s", "component").agg(F.count("*").alias("k"))
+    largest = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    tokens = materialize(tokens.join(largest, "s").join(facts.withColumnRenamed("rep", "id"), "id"), "tokens")
+    x, y = tokens.filter("component <> largest").alias("x"), tokens.alias("y")
+    once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
+    # If this is the first shingle they share, they share as many more as come after it at most; J >= t asks for t / (1 + t) of both sizes.
+    enough = (F.least("x.after", "y.after") + 1) * (100 + PERCENT) >= (F.col("x.n_shingles") + F.col("y.n_shingles")) * PERCENT
+    cross = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.component") != F.col("y.component")) & once & enough & _alike("x", "y"))
+    pairs = cross.groupBy(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).agg(F.min(F.least("x.g", "y.g")).alias("g"))
+    return pairs.select("g", "a", "b")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -127,45 +185,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     reps = described.join(classes.filter("rep IS NOT NULL"), ["h1", "h2"]).filter("doc_id = rep")
     reps = materialize(reps.select("rep", "n_shingles", "s0", "s1", "bands").dropDuplicates(["rep"]), "representatives")
     facts = reps.select("rep", "n_shingles", "s0", "s1")
-    n = facts.count()
 
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("k")).filter("k > 1")
     buckets = materialize(buckets.join(shared.drop("k"), "key"), "buckets")
 
-    def admitted(pairs: DataFrame) -> DataFrame:
+    def star(members: DataFrame) -> DataFrame:
+        """Each bucket's leader with its members, once for each different pair, where sizes and sketches admit it."""
+        pairs = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
         pairs = pairs.join(facts.alias("x"), F.col("a") == F.col("x.rep")).join(facts.alias("y"), F.col("b") == F.col("y.rep"))
-        return pairs.filter(_alike("x", "y")).select("a", "b")
-
-    tested = materialize(admitted(buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()), "pairs")
-    links = materialize(_verified(tested, texts), "verified")
-    while True:
-        parts = materialize(connected_components(links.select("a", "b")), "components")
-        marked = buckets.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # Leaders were compared with all of their bucket. What remains are the other members, where they are of several components.
-        marked = marked.filter("id <> lead")
-        sizes = marked.groupBy("key", "component").agg(F.count("*").alias("k"))
-        open_keys = sizes.groupBy("key").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count("*").alias("c")).filter("c > 1")
-        open_keys = materialize(open_keys, "open")
-        left = open_keys.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0] or 0
-        if not left:
-            break
-        marked = marked.join(open_keys.select("key"), "key").drop("lead")
-        if last := left <= PAIRS_PER_ROW * n:
-            described_members = marked.join(facts.withColumnRenamed("rep", "id"), "id")
-            x, y = described_members.alias("x"), described_members.alias("y")
-            cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & _alike("x", "y"))
-            pairs = cross.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-        else:
-            lead = marked.groupBy("key").agg(F.min("id").alias("lead"))
-            buckets = materialize(marked.drop("component").join(lead, "key"), "buckets")
-            pairs = admitted(buckets.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct())
-        fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.union(fresh)
-        links = links.union(materialize(_verified(fresh, texts), "verified"))
-        if last:
-            parts = connected_components(links.select("a", "b"))
-            break
+        return pairs.filter(_alike("x", "y")).select(F.col("a").alias("g"), "a", "b")
+
+    known = materialize(_compare(star(buckets), texts), "compared")
+    parts = materialize(connected_components(known.filter(_similar()).select("a", "b")), "components")
+    unsettled = _unsettled(buckets, parts)
+    if not unsettled.isEmpty():
+        likeness = known.select(F.col("a").alias("lead"), F.col("b").alias("id"), (F.col("shared") / F.col("total")).alias("j"))
+        central = unsettled.join(likeness, ["lead", "id"]).groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("j", "id")).alias("c"))
+        again = unsettled.drop("lead").join(central, "key").filter("component <> c.component").select("key", "id", F.col("c.id").alias("lead"))
+        fresh = materialize(star(again).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"]).join(known, ["a", "b"], "left_anti").select("g", "a", "b"), "pairs")
+        known = known.union(materialize(_compare(fresh, texts), "compared"))
+        parts = materialize(connected_components(known.filter(_similar()).select("a", "b")), "components")
+        unsettled = _unsettled(buckets, parts)
+        if not unsettled.isEmpty():
+            pairs = materialize(_prefix_pairs(unsettled, facts, texts).join(known, ["a", "b"], "left_anti").select("g", "a", "b"), "pairs")
+            known = known.union(materialize(_compare(pairs, texts), "compared"))
+            parts = connected_components(known.filter(_similar()).select("a", "b"))
     out = described.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts, F.col("rep") == F.col("id"), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
