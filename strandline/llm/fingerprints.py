@@ -82,8 +82,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     firsts = docs.select(at.alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("first"))
     last = F.max("range").over(W.partitionBy())
     before = F.coalesce(F.lag("range").over(W.orderBy("range")), last)
-    firsts = firsts.select("range", "first", before.alias("before"), (F.row_number().over(W.orderBy("range")) == 1).alias("wraps"))
-    firsts = F.broadcast(firsts.filter("first IS NOT NULL OR wraps"))
+    firsts = firsts.select("range", "first", before.alias("before"))
+    firsts = F.broadcast(firsts)
 
     rows = docs.withColumn("__range", at).join(firsts, (F.col("__range") == F.col("range")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
     own = F.struct(F.col("__range").alias("to"), F.lit(0).alias("guest"))
