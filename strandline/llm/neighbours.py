@@ -6,7 +6,8 @@ centroid, and the inner product of the code with what it stands for.
 
 Search. A query visits the cells whose centroids promise most. There the signs that a vector's packed bits stand for and
 its scalars give an estimate of the inner product and an error bound. Only vectors whose upper bound reaches the query's
-floor, its k-th best score in the sample, are measured on the original vectors.
+floor, its k-th best score in the sample, are measured on the original vectors. A query that finds fewer than k that way
+is measured against every vector, so that each returns k.
 
 Fitted on SAMPLE vectors at most (those of the smallest id hashes): centroids, and how many cells a query visits, such
 that a share RECALL of the sample's true neighbours lies in them. Every vector is indexed. Cells are processed in blocks
@@ -15,7 +16,7 @@ are merged by an aggregation.
 
 Defined results: a vector that is null, empty, zero, of another length than most, or has a null or non-finite component
 neither asks nor answers; a null id doesn't either; repeated rows answer as often as they stand, but never a query of
-their own id; ties go to the smaller vec_id; with k candidates or fewer all are returned; an empty table gives an empty
+their own id, and ask once (with the smallest vector); ties go to the smaller vec_id; with k candidates or fewer all are returned; an empty table gives an empty
 result; extra columns are ignored.
 """
 
@@ -125,13 +126,19 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 
 
 def _best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of a block for each query, among those that reach the query's floor."""
+    """The k best of a block for each query, among those that reach the query's floor. A query with the floor -inf is measured against all."""
     codes, out = Codes(vectors, centroid, rotation), []
     for start in range(0, len(queries), 256):
         part = slice(start, start + 256)
         q, qi = queries[part], query_ids[part]
-        upper, _ = codes.bounds(q, centroid, rotation)
-        rows, cols = np.nonzero(upper >= (floors[part, None] - SLACK).astype(np.float32))
+        floor = floors[part, None] - SLACK
+        if np.isneginf(floor).any():
+            upper = np.where(ids[None, :] != qi[:, None], q @ vectors.T, -np.inf)
+            at = min(k, upper.shape[1]) - 1
+            floor = np.where(np.isneginf(floor), -np.partition(-upper, at, axis=1)[:, at, None] - SLACK, floor)
+        else:
+            upper, floor = codes.bounds(q, centroid, rotation)[0], floor.astype(np.float32)
+        rows, cols = np.nonzero(upper >= floor)
         exact = np.empty(len(rows))
         for a in range(0, len(rows), 16_384):
             b = slice(a, a + 16_384)
@@ -145,6 +152,25 @@ def _best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: n
     return pd.concat(out)
 
 
+def _search(indexed: DataFrame, held: DataFrame, asked: DataFrame, shipped, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k best of every block of the cells that asked (query_id, v, floor, cell) names."""
+    wanted = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).alias("q_blocks"))
+    blocks = F.broadcast(held.join(wanted, "cell"))
+    numbers = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
+    left = indexed.join(blocks, "cell").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks"))).withColumn("qb", numbers("q_blocks"))
+    right = asked.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks"))).withColumn("vb", numbers("v_blocks"))
+
+    def search(key, vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+        if not len(vs) or not len(qs):
+            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+        p = shipped.value
+        return _best(qs["query_id"].to_numpy(), np.stack(qs["v"].to_numpy()), qs["floor"].to_numpy(), vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()), p.centroids[int(key[0])], p.rotation, k)
+
+    by = ("cell", "vb", "qb")
+    groups = left.select(*by, "vec_id", "v").groupBy(*by).cogroup(right.select(*by, "query_id", "v", "floor").groupBy(*by))
+    return groups.applyInPandas(search, "query_id long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score). is_query: a condition on vec_id."""
     spark = vectors.sparkSession
@@ -174,24 +200,16 @@ def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", em
         return pd.Series(shipped.value.floors(np.stack(x.to_numpy()), k)) if len(x) else pd.Series([], dtype=float)
 
     indexed = materialize(rows.withColumn("cell", cell_of("v")), "vectors")
-    asked = materialize(indexed.filter(is_query).select(F.col("vec_id").alias("query_id"), "v", floor_of("v").alias("floor"), visited("v").alias("cells")), "queries")
-    asked = asked.select("query_id", "v", "floor", F.explode("cells").alias("cell"))
-    # Both are MAX_CELLS rows at most.
-    held = indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("v_blocks"))
-    wanted = asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERIES_PER_BLOCK).alias("q_blocks"))
-    blocks = F.broadcast(held.join(wanted, "cell"))
-    numbers = lambda upto: F.explode(F.sequence(F.lit(0).cast("long"), F.col(upto) - 1))
-    left = indexed.join(blocks, "cell").withColumn("vb", F.pmod(F.xxhash64("vec_id"), F.col("v_blocks"))).withColumn("qb", numbers("q_blocks"))
-    right = asked.join(blocks, "cell").withColumn("qb", F.pmod(F.xxhash64("query_id"), F.col("q_blocks"))).withColumn("vb", numbers("v_blocks"))
-
-    def search(key, vs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-        if not len(vs) or not len(qs):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
-        p = shipped.value
-        return _best(qs["query_id"].to_numpy(), np.stack(qs["v"].to_numpy()), qs["floor"].to_numpy(), vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()), p.centroids[int(key[0])], p.rotation, k)
-
-    by = ("cell", "vb", "qb")
-    found = left.select(*by, "vec_id", "v").groupBy(*by).cogroup(right.select(*by, "query_id", "v", "floor").groupBy(*by)).applyInPandas(search, "query_id long, vec_id long, score double")
+    held = materialize(indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("v_blocks")), "cells")  # MAX_CELLS rows at most
+    asked = materialize(indexed.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).select("query_id", "v", floor_of("v").alias("floor"), visited("v").alias("cells")), "queries")
+    found = materialize(_search(indexed, held, asked.select("query_id", "v", "floor", F.explode("cells").alias("cell")), shipped, k), "found")
+    # A query that found fewer than k (a neighbour lay in a cell not visited, or an estimate missed) is measured against every vector.
+    enough = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k).select("query_id")
+    short = materialize(asked.join(enough, "query_id", "left_anti").select("query_id", "v", F.lit(float("-inf")).alias("floor")), "short")
+    if not short.isEmpty():
+        cells = F.array(*[F.lit(r["cell"]) for r in held.select("cell").collect()])
+        every = short.withColumn("cell", F.explode(cells))
+        found = found.join(short.select("query_id"), "query_id", "left_anti").union(_search(indexed, held, every, shipped, k))
     # Every block gives k rows for a query at most, so the rows of a query are bounded by k times the blocks it visits.
     merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     out = merged.select("query_id", F.posexplode("best").alias("at", "b"))

@@ -250,10 +250,10 @@ def test_neighbours_reach_recall(spark, monkeypatch, cells):
 
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (9, [1.0, 0.0])]
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (9, [1.0, 0.0])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, cell string, query_id int")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect())
-    assert got == [(0, 1, 8, 1.0), (0, 2, 9, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 8, 0.5), (20, 3, 9, 0.5)]
+    assert got == [(0, 1, 8, 1.0), (0, 2, 9, 1.0), (0, 3, 20, 0.5), (20, 1, 0, 0.5), (20, 2, 0, 0.5), (20, 3, 8, 0.5), (20, 4, 9, 0.5)]
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
