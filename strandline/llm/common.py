@@ -26,8 +26,21 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_FOLDERS: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _FOLDERS.append(path := f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this process wrote to the shared folder, once no result that reads it is needed any more."""
+    jvm = spark.sparkContext._jvm
+    for path in _FOLDERS:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _FOLDERS.clear()
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

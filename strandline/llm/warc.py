@@ -35,7 +35,7 @@ from .common import materialize, new_folder
 
 MIN_BYTES = 0
 FILE_BYTES, LEVEL = 1 << 30, 6
-BLOCK, GAP, READ = 8 << 20, 64 << 10, 8 << 20
+BLOCK, GAP, READ, TASK = 4 << 20, 64 << 10, 4 << 20, 16 << 20
 #: WARC asks for a date; a fixed one keeps reruns equal.
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string"
@@ -164,7 +164,9 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
 
     block = F.floor(F.col("offset") / BLOCK)
     rows = selected.select("file", "offset", "length").withColumn("block", block)
-    rows = rows.repartition("file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+    # Index rows are small beside what they point to, so the number of tasks follows the bytes that will be read.
+    total = selected.agg(F.sum("length")).first()[0] or 0
+    rows = rows.repartition(max(1, -(-total // TASK)), "file", "block").sortWithinPartitions("file", "offset").select("file", "offset", "length")
     return rows.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary")
 
 

@@ -296,3 +296,15 @@ def test_selected_records_are_read_in_ranges(spark):
     assert got == {i: f"page {i} " * 20 for i in range(7, 200, 10)}
     groups = list(warc._reads([("a", 0, 10), ("a", 10, 5), ("a", 10**6, 5), ("b", 0, warc.READ + 1), ("b", warc.READ + 1, 1)]))
     assert [len(g) for g in groups] == [2, 1, 1, 1]
+
+
+def test_release_deletes_what_was_written(spark):
+    from pathlib import Path
+
+    from strandline.llm import common
+
+    df = common.materialize(spark.range(10), "some")
+    folder = Path(common._FOLDERS[-1].removeprefix("file://"))
+    assert df.count() == 10 and folder.exists()
+    common.release(spark)
+    assert not folder.exists() and common._FOLDERS == []
