@@ -6,7 +6,7 @@ grams the smallest hash is kept, the rightmost of equal ones, with its position.
 GRAM + WINDOW - 1 words share a fingerprint, wherever the passage stands: word positions don't enter the hash.
 
 A document's edited text needs the next document. Ids are dealt into ranges whose firsts also go to the range before
-(a small broadcast list, RANGES long at most), so that each range is complete and no task sees all documents.
+(broadcast lists, CUTS + 1 times RANGES long at most), so that each range is complete and no task sees all documents.
 
 Defined results: a null or empty text has n_chars 0 and the empty fingerprint; two empty fingerprints are alike (1.0),
 one is not (0.0); equal ids are ordered by text; null ids come last; a single document is its own next; an empty table
@@ -24,7 +24,7 @@ from . import common
 GRAM = 3
 WINDOW = 6
 WORD_CHARS = 16
-RANGES = 16_384
+RANGES, CUTS = 16_384, 2
 ROWS_PER_RANGE = 500
 POSITIONS = 1 << 32
 
@@ -69,29 +69,39 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(shared / every)
 
 
+def _dealt(docs: DataFrame, n: int, low: int, high: int) -> DataFrame:
+    """docs with __at, an array that orders ranges of doc_id: bins of equal width, then, CUTS times, parts of those bins that hold too many rows,
+    cut between their own smallest and largest ids, so that clustered ids and outliers spread as well. A cut adds RANGES ranges at most."""
+    width = min(max(1, -(-(high - low + 1) // max(1, min(RANGES, n // ROWS_PER_RANGE)))), (1 << 63) - 1)
+    target = max(ROWS_PER_RANGE, -(-n // RANGES))
+    ids, rows = (df.withColumn("__at", F.array(F.coalesce(F.expr(f"doc_id div {width}L"), F.lit((1 << 63) - 1)))) for df in (docs.select("doc_id"), docs))
+    for _ in range(CUTS):
+        bins = ids.groupBy("__at").agg(F.min("doc_id").alias("__low"), F.max("doc_id").alias("__high"), F.count("*").alias("__n"))
+        step = F.when(F.col("__n") > 2 * target, F.expr(f"try_subtract(__high, __low) div ceil(__n / {target}) + 1"))
+        bins = F.broadcast(bins.select("__at", "__low", step.alias("__step")))
+        cut = F.concat("__at", F.array(F.coalesce(F.expr("try_subtract(doc_id, __low) div __step"), F.lit(0).cast("long"))))
+        ids, rows = (df.join(bins, "__at").withColumn("__at", cut).drop("__low", "__step") for df in (ids, rows))
+    return rows
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) with next_<column> of the next row by (doc_id, text), the first after the last."""
     cols = docs.columns
     ids = docs.select("doc_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
     if not ids["n"]:
         return docs.select("*", *[F.col(c).alias(f"next_{c}") for c in cols])
-    low, high = ids["low"] or 0, ids["high"] or 0
-    n_ranges = max(1, min(RANGES, ids["n"] // ROWS_PER_RANGE))
-    width = max(1, -(-(high - low + 1) // n_ranges))
-    at = F.coalesce(F.expr(f"(doc_id - {low}) div {width}"), F.lit(n_ranges)).cast("int")
-    firsts = docs.select(at.alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id").alias("first"))
-    last = F.max("range").over(W.partitionBy())
-    before = F.coalesce(F.lag("range").over(W.orderBy("range")), last)
-    firsts = firsts.select("range", "first", before.alias("before"))
-    firsts = F.broadcast(firsts)
-
-    rows = docs.withColumn("__range", at).join(firsts, (F.col("__range") == F.col("range")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
-    own = F.struct(F.col("__range").alias("to"), F.lit(0).alias("guest"))
-    guest = F.struct(F.col("before").alias("to"), F.lit(1).alias("guest"))
+    facts = ids["n"], ids["low"] or 0, ids["high"] or 0
+    firsts = _dealt(docs.select("doc_id"), *facts).groupBy(F.col("__at").alias("at")).agg(F.min("doc_id").alias("first"))
+    before = F.coalesce(F.lag("at").over(W.orderBy("at")), F.max("at").over(W.partitionBy()))
+    firsts = F.broadcast(firsts.select("at", "first", before.alias("before")))
+
+    rows = _dealt(docs, *facts)
+    rows = rows.join(firsts, (F.col("__at") == F.col("at")) & F.col("doc_id").eqNullSafe(F.col("first")), "left")
+    own, guest = F.struct(F.col("__at").alias("at"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("at"), F.lit(1).alias("guest"))
     rows = rows.withColumn("__to", F.explode(F.when(F.col("before").isNotNull(), F.array(own, guest)).otherwise(F.array(own))))
-    order = W.partitionBy("__to.to").orderBy("__to.guest", F.col("doc_id").asc_nulls_last(), "text")
-    rows = rows.select(*cols, "__to", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols], F.lead("__to.guest").over(order).alias("__more"))
-    return rows.filter(F.col("__to.guest") == 0).drop("__to", "__more")
+    order = W.partitionBy("__to.at").orderBy("__to.guest", F.col("doc_id").asc_nulls_last(), "text")
+    rows = rows.select(*cols, "__to", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols])
+    return rows.filter(F.col("__to.guest") == 0).drop("__to")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

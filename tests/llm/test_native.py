@@ -182,6 +182,18 @@ def test_fingerprints(spark, odd_docs, no_docs):
     assert fingerprints.fingerprints(odd_docs).count() == odd_docs.count() and fingerprints.fingerprints(no_docs).count() == 0
 
 
+def test_next_over_clustered_and_far_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "ROWS_PER_RANGE", 7)
+    rng = random.Random(7)
+    ids = sorted({rng.randrange(1000) for _ in range(300)} | {10**12 + rng.randrange(500) for _ in range(200)} | {-(1 << 63), (1 << 63) - 1, 5 * 10**17})
+    df = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none a"), (None, "none b")], "doc_id long, text string").repartition(5)
+    got = [(r["doc_id"], r["text"], r["next_doc_id"], r["next_text"]) for r in fingerprints.with_next(df).collect()]
+    row = [(i, f"t{i}") for i in ids] + [(None, "none a"), (None, "none b")]
+    assert sorted(got, key=str) == sorted([(*row[k], *row[(k + 1) % len(row)]) for k in range(len(row))], key=str)
+    dealt = fingerprints._dealt(df, len(row), ids[0], ids[-1]).groupBy("__at").count().collect()
+    assert max(r["count"] for r in dealt) <= 60 and len(dealt) > 20
+
+
 def test_a_shared_passage_shares_a_fingerprint():
     rng = random.Random(6)
     passage = words(rng, fingerprints.GRAM + fingerprints.WINDOW - 1)
