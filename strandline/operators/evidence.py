@@ -13,7 +13,7 @@ TABLES = {
     "pca_loadings": f"{SCOPE}, family STRING, pc_ordinal INT, source_feature STRING, loading DOUBLE, squared_loading DOUBLE, explained_variance DOUBLE",
     "correlation_mapping": f"{SCOPE}, candidate STRING, chosen_representative STRING, full_abs_correlation DOUBLE, subwindow_1_abs_correlation DOUBLE, subwindow_2_abs_correlation DOUBLE, subwindow_3_abs_correlation DOUBLE, full_support_count BIGINT, subwindow_1_support_count BIGINT, subwindow_2_support_count BIGINT, subwindow_3_support_count BIGINT, retained BOOLEAN, reason STRING",
     "sffs_steps": f"{SCOPE}, state_count INT, step_number INT, action STRING, candidate STRING, selected_tuple_hash STRING, forecast_score DOUBLE, calibration_score DOUBLE, stability_score DOUBLE, robustness_score DOUBLE, total_score DOUBLE, eligible BOOLEAN, rejection_reason STRING",
-    "fold_model_stats": f"{SCOPE}, state_count INT, model_family STRING, selected_tuple_hash STRING, valid BOOLEAN, diagnostics_json STRING, mlflow_run_id STRING, bundle_hash STRING",
+    "fold_model_stats": f"{SCOPE}, state_count INT, model_family STRING, selected_tuple_hash STRING, valid BOOLEAN, diagnostics_json STRING, tracking_run_id STRING, bundle_hash STRING",
 }
 SCOPE_KEYS = ["fold_id", "profile_hash", "source_build_id"]
 KEYS = {
