@@ -224,9 +224,10 @@ def _evaluate(spark: SparkSession, x: np.ndarray, states: int):
 
     def evaluate(subsets: list[tuple[str, ...]]) -> list[float | None]:
         jobs = [multistart.Job("|".join(s), tuple(FIT_COLUMNS.index(f) for f in s), n, len(x) - n, states) for s in subsets]
-        found = {r["job"]: r for r in multistart.winners(multistart.run(spark, x, jobs, FIT_SEEDS[:3]), 1, 0.0).collect()}
+        found = {r["job"]: r for r in multistart.winners(multistart.run(spark, x, jobs, FIT_SEEDS)).collect()}
         base = {s: refit.single_normal(x[:, [FIT_COLUMNS.index(f) for f in s]], n, len(x) - n) for s in subsets}
-        return [0.5 + 0.5 * math.tanh(found["|".join(s)]["test_ll"] / found["|".join(s)]["test_n"] - base[s]) if found["|".join(s)]["test_n"] else None for s in subsets]
+        best = {s: found["|".join(s)] for s in subsets}
+        return [0.5 + 0.5 * math.tanh(best[s]["test_ll"] / best[s]["test_n"] - base[s]) if best[s]["valid"] and best[s]["test_n"] else None for s in subsets]
 
     return evaluate
 
@@ -236,14 +237,14 @@ _STEPS = "k long, number long, action string, candidate string, selected string,
 
 @query()
 def q_sffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = selection.sffs(FIT_COLUMNS, _evaluate(spark, _days(spark, sf_dir), 2), 2)
+    found = selection.sffs(FIT_COLUMNS, _evaluate(spark, _days(spark, sf_dir), 2))
     return spark.createDataFrame([(2, s.number, s.action, s.candidate, "|".join(s.selected), s.score) for s in found.steps], _STEPS)
 
 
 @query()
 def q_k_sffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _days(spark, sf_dir)
-    found = selection.k_slot_sffs(FIT_COLUMNS[:2], lambda k, subsets: _evaluate(spark, x, k)(subsets), (2, 3), 2)
+    found = selection.k_slot_sffs(FIT_COLUMNS, lambda k, subsets: _evaluate(spark, x, k)(subsets))
     return spark.createDataFrame([(k, s.number, s.action, s.candidate, "|".join(s.selected), s.score) for k, f in found.items() for s in f.steps], _STEPS)
 
 
@@ -268,5 +269,5 @@ def q_family_pca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_final_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = refit.final_refit(spark, panels.lineitem_daily(spark, sf_dir), ["price", "quantity"], 1)
+    found = refit.final_refit(spark, panels.lineitem_daily(spark, sf_dir), ["price", "quantity"], 2)
     return spark.createDataFrame([(json.dumps(found["features"]), found["rows"], str(found["trained_through"]), found["alpha"])], "features string, rows long, trained_through string, alpha array<double>")

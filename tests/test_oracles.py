@@ -4,7 +4,8 @@ import hashlib
 
 import pytest
 
-from strandline.plans import catalogue
+from strandline.operators import multistart
+from strandline.plans import catalogue, refit
 from tests.oracle import DATA, agree, connect
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -34,3 +35,36 @@ def test_the_audit_compares_every_order(spark):
     digits = {k: hashlib.md5(str(k).encode()).hexdigest()[0] for k in keys}
     got = {r["k"]: r["problem"] for r in catalogue.queries()["q_result_audit_all"](spark, str(DATA / SF)).collect()}
     assert got == {k: named[d] for k, d in digits.items() if d in named} and max(got) > 600
+
+
+def _stub(spark, calls, ok=8):
+    """multistart.run that fits nothing: ok of the seeds succeed, larger sets score higher, and every call is noted."""
+
+    def run(_, matrix, jobs, seeds=multistart.SEEDS, *rest):
+        calls.append((jobs, tuple(seeds)))
+        rows = [(j.job, s, i < ok, None, 1.0 * len(j.columns), 1e3 * len(j.columns), j.test, "{}") for j in jobs for i, s in enumerate(seeds)]
+        return spark.createDataFrame(rows, multistart.RESULT)
+
+    return run
+
+
+def test_searches_use_every_seed_set_size_and_state_count(spark, monkeypatch):
+    sf, q = str(DATA / SF), catalogue.queries()
+    for name, counts in {"q_sffs": {2}, "q_k_sffs": {2, 3, 4, 5}, "q_ablation": {2}}.items():
+        calls = []
+        monkeypatch.setattr(multistart, "run", _stub(spark, calls))
+        found = q[name](spark, sf)
+        assert {seeds for _, seeds in calls} == {multistart.SEEDS} and {j.states for jobs, _ in calls for j in jobs} == counts
+        assert {k: {c for jobs, _ in calls for j in jobs if j.states == k for c in j.columns} for k in counts} == {k: {0, 1, 2} for k in counts}
+        assert max(len(j.columns) for jobs, _ in calls for j in jobs) == 3
+        value = "loss" if name == "q_ablation" else "score"
+        assert all(r[value] is not None for r in found.collect())
+        monkeypatch.setattr(multistart, "run", _stub(spark, [], ok=5))
+        assert all(r[value] is None for r in q[name](spark, sf).collect())
+
+
+def test_final_refit_has_regimes(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(refit, "final_refit", lambda *a, **k: seen.append(a) or {"features": [], "rows": 0, "trained_through": "", "alpha": []})
+    catalogue.queries()["q_final_refit"](spark, str(DATA / SF))
+    assert seen[0][3] >= 2
