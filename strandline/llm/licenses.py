@@ -3,7 +3,8 @@
 Templates are the words of licence notices. The index lists, for the two rarest key words of every template, its place
 in the template; rarity is the inverse document frequency over all files. A file is looked up by those words: a place
 of the rarest, and the second rarest at the same relative position, propose a place of the template, which stands if
-the template's key phrases do. Files without an indexed word (nearly all) end after one set test.
+the template's key phrases do. The template's other words may be absent, so that its place may begin before the file's
+first word. Files without an indexed word (nearly all) end after one set test.
 
 Base labels are places of three phrases and don't depend on the templates.
 
@@ -110,9 +111,9 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, text: str = "text",
 
         def proposed(i: Column) -> Column:
             start = i - first
-            agrees = (F.get(words, i) == t.words[first]) & (start >= 0)
+            agrees = F.get(words, i) == t.words[first]
             for k in second:
-                agrees = agrees & (F.get(words, F.greatest(start, F.lit(0)) + k) == t.words[k])
+                agrees = agrees & (F.get(words, F.greatest(start + k, F.lit(0))) == t.words[k])
             for a, b in t.phrases:
                 agrees = agrees & stands(words, start + a, t.words[a:b])
             return F.coalesce(agrees, F.lit(False))
@@ -120,7 +121,8 @@ def scan(docs: DataFrame, notices: dict[str, str] = NOTICES, text: str = "text",
         return F.transform(F.filter(hits, proposed), lambda i: i - first)
 
     def coverage(words: Column, starts: Column, t: Template) -> Column:
-        one = lambda s: sum((F.coalesce(F.get(words, s + k) == w, F.lit(False)).cast("int") for k, w in enumerate(t.words)), F.lit(0))
+        here = lambda at, w: F.coalesce((at >= 0) & (F.get(words, F.greatest(at, F.lit(0))) == w), F.lit(False))
+        one = lambda s: sum((here(s + k, w).cast("int") for k, w in enumerate(t.words)), F.lit(0))
         return F.array_max(F.transform(starts, one)) / len(t.words)
 
     def read(words: Column, hits: Column) -> Column:

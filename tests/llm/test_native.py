@@ -52,6 +52,16 @@ def test_license_scan(spark, odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == odd_docs.count() and licenses.scan(no_docs).count() == 0
 
 
+def test_a_notice_at_the_top_needs_no_lead_in(spark):
+    tops = {"Apache License, Version 2.0": ("apache-2.0", 5 / 8), "GNU General Public License version 3": ("gpl,gpl-3.0", 1.0), "The MIT License": ("mit", 3 / 5), "Mozilla Public License v 2.0": ("mpl-2.0", 6 / 12), "under Apache License 2.0": ("", 0.0)}
+    rows = [(i, lead + text) for i, text in enumerate(tops) for lead in ("", "x ", "one two three four five six seven ")]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        label, score = list(tops.values())[r["doc_id"]]
+        assert (r["labels"], r["score"]) == (label, pytest.approx(score))
+
+
 def best_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
