@@ -3,7 +3,8 @@
 1. Every text becomes its set of 5-word shingles, and the set a SuperMinHash signature of SIGNATURE values: each shingle
    walks a random permutation of the slots and offers rank + uniform to each, so that ranks over slots are correlated
    and the variance is below MinHash's; the walk stops at the rank from which no slot can improve.
-2. Texts with one set collapse into one class, represented by its smallest doc_id.
+2. Texts with one set collapse into one class, represented by its row of smallest doc_id. Classes have numbers of their
+   own, and rows are told apart by a hash of id and text, so that neither null nor repeated ids matter.
 3. Bands of ROWS values deal representatives into buckets. A bucket's members are compared with its smallest id only,
    so a bucket of k members gives k - 1 candidates. One bit of each signature value estimates the similarity first.
 4. Candidates are verified on full shingle sets, made again from the texts.
@@ -13,9 +14,9 @@
    shingles, so that no pair that shares a bucket is left undecided, and none is compared only for sharing one.
 
 Defined results: a null, empty or blank text has no shingle, links with nothing and is kept; equal sets are linked
-whatever the texts; rows with a repeated doc_id are one document in the component of each text; a null doc_id joins its
-set's component, and is kept if the set has no other id; an empty table gives an empty result; extra columns are
-ignored.
+whatever the texts; a repeated doc_id is a document in the component of each of its texts, and rows of one doc_id and
+text are one document; a null doc_id is compared as any other, and is kept if its component has no other id (one text of
+it, if there are several); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -68,7 +69,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, sizes = batch.num_rows, np.zeros(batch.num_rows, np.int64)
         ids, keys, bits = np.zeros((n, 2), np.int64), np.zeros((n, BANDS), np.int64), np.zeros((n, SIGNATURE // 64), np.int64)
-        for i, text in enumerate(batch.column(1)):
+        for i, text in enumerate(batch.column("text")):
             s = shingle_set(text.as_py(), hashes)
             if not len(s):
                 continue
@@ -78,8 +79,8 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys[i] = mix((signature.reshape(BANDS, ROWS) * odd).sum(axis=1, dtype=np.uint64) ^ bands).view(np.int64)
             bits[i] = np.packbits((mix(signature) & np.uint64(1)).astype(np.uint8)).view(np.int64)
         listed = pa.ListArray.from_arrays(pa.array(np.arange(0, n * BANDS + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-        columns = [batch.column(0), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in (*ids.T, *bits.T)), listed]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "s0", "s1", "bands"])
+        columns = [*(batch.column(c) for c in ("doc_id", "k1", "k2")), pa.array(sizes), *(pa.array(np.ascontiguousarray(c)) for c in (*ids.T, *bits.T)), listed]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "k1", "k2", "n_shingles", "h1", "h2", "s0", "s1", "bands"])
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,8 +108,19 @@ def _alike(a: str, b: str):
     return (differ <= SKETCH_BITS) & (F.least(x, y) * 100 >= F.greatest(x, y) * PERCENT)
 
 
-def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total) of different pairs (g, a, b), from full sets. texts: (doc_id, text) with the representatives' texts.
+def _row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell rows of different ids or texts apart; never null."""
+    return F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(F.lit(1), text, doc_id).alias("k2")
+
+
+def _texts_of(ids: DataFrame, id: str, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """ids with the text of each class's representative."""
+    keys = facts.select(F.col("rep").alias(id), "k1", "k2")
+    return ids.join(keys, id).join(texts.select("k1", "k2", "text"), ["k1", "k2"]).drop("k1", "k2")
+
+
+def _compare(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total) of different pairs (g, a, b), from full sets.
 
     A group's documents are dealt into chunks, and its pairs into cells of two chunks, so that a text travels once for
     each cell, not for each pair, and a cell holds 2 * CHUNK sets on average, however large the group.
@@ -117,7 +129,7 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
     cells = pairs.join(chunks, "g").select(F.xxhash64("g", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell"), "a", "b")
     members = cells.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
-    read = members.join(texts, F.col("a") == F.col("doc_id")).select("cell", "a", F.lit(None).cast("long").alias("b"), "text")
+    read = _texts_of(members, "a", facts, texts).select("cell", "a", F.lit(None).cast("long").alias("b"), "text")
     rows = read.union(cells.select("cell", "a", "b", F.lit(None).cast("binary")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
     return rows.mapInArrow(_compared, "a long, b long, shared long, total long")
@@ -152,7 +164,7 @@ def _prefix_pairs(unsettled: DataFrame, facts: DataFrame, texts: DataFrame) -> D
     of loose copies gives few pairs. In each shingle's list the largest component is compared with the others only.
     """
     ids = materialize(unsettled.groupBy("id").agg(F.min("lead").alias("g"), F.min("component").alias("component")), "unsettled-ids")
-    read = ids.select("id").join(texts, F.col("id") == F.col("doc_id")).select("id", "text").dropDuplicates(["id"])
+    read = _texts_of(ids.select("id"), "id", facts, texts).select("id", "text").dropDuplicates(["id"])
     listed = materialize(read.mapInArrow(_listed, "id long, shingles array<long>"), "shingles")
     long = listed.select("id", F.explode("shingles").alias("s"))
     frequent = long.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
@@ -165,7 +177,7 @@ def _prefix_pairs(unsettled: DataFrame, facts: DataFrame, texts: DataFrame) -> D
     tokens = tokens.join(ids, "id")
     parts = tokens.groupBy("s", "component").agg(F.count("*").alias("k"))
     largest = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    tokens = materialize(tokens.join(largest, "s").join(facts.withColumnRenamed("rep", "id"), "id"), "tokens")
+    tokens = materialize(tokens.join(largest, "s").join(facts.withColumnRenamed("rep", "id").drop("k1", "k2"), "id"), "tokens")
     x, y = tokens.filter("component <> largest").alias("x"), tokens.alias("y")
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
     # If this is the first shingle they share, they share as many more as come after it at most; J >= t asks for t / (1 + t) of both sizes.
@@ -175,16 +187,18 @@ def _prefix_pairs(unsettled: DataFrame, facts: DataFrame, texts: DataFrame) -> D
     return pairs.select("g", "a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
+def _rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, k1, k2), one row per row of docs; kept is true for the rows of one key in each component."""
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
-    schema = "doc_id long, n_shingles long, h1 long, h2 long, s0 long, s1 long, bands array<long>"
+    texts = texts.select("*", *_row_keys(F.col("doc_id"), F.col("text")))
+    schema = "doc_id long, k1 long, k2 long, n_shingles long, h1 long, h2 long, s0 long, s1 long, bands array<long>"
     described = materialize(texts.mapInArrow(_described, schema), "signatures")
-    classes = described.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    classes = materialize(classes, "classes")
-    reps = described.join(classes.filter("rep IS NOT NULL"), ["h1", "h2"]).filter("doc_id = rep")
-    reps = materialize(reps.select("rep", "n_shingles", "s0", "s1", "bands").dropDuplicates(["rep"]), "representatives")
-    facts = reps.select("rep", "n_shingles", "s0", "s1")
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
+    classes = described.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(row).alias("first"))
+    classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    reps = described.join(classes, ["h1", "h2"]).filter("k1 = first.k1 AND k2 = first.k2")
+    reps = materialize(reps.select("rep", "k1", "k2", "n_shingles", "s0", "s1", "bands").dropDuplicates(["rep"]), "representatives")
+    facts = reps.drop("bands")
 
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
     shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("k")).filter("k > 1")
@@ -196,7 +210,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         pairs = pairs.join(facts.alias("x"), F.col("a") == F.col("x.rep")).join(facts.alias("y"), F.col("b") == F.col("y.rep"))
         return pairs.filter(_alike("x", "y")).select(F.col("a").alias("g"), "a", "b")
 
-    known = materialize(_compare(star(buckets), texts), "compared")
+    known = materialize(_compare(star(buckets), facts, texts), "compared")
     parts = materialize(connected_components(known.filter(_similar()).select("a", "b")), "components")
     unsettled = _unsettled(buckets, parts)
     if not unsettled.isEmpty():
@@ -204,21 +218,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
         central = unsettled.join(likeness, ["lead", "id"]).groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("j", "id")).alias("c"))
         again = unsettled.drop("lead").join(central, "key").filter("component <> c.component").select("key", "id", F.col("c.id").alias("lead"))
         fresh = materialize(star(again).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"]).join(known, ["a", "b"], "left_anti").select("g", "a", "b"), "pairs")
-        known = known.union(materialize(_compare(fresh, texts), "compared"))
+        known = known.union(materialize(_compare(fresh, facts, texts), "compared"))
         parts = materialize(connected_components(known.filter(_similar()).select("a", "b")), "components")
         unsettled = _unsettled(buckets, parts)
         if not unsettled.isEmpty():
             pairs = materialize(_prefix_pairs(unsettled, facts, texts).join(known, ["a", "b"], "left_anti").select("g", "a", "b"), "pairs")
-            known = known.union(materialize(_compare(pairs, texts), "compared"))
+            known = known.union(materialize(_compare(pairs, facts, texts), "compared"))
             parts = connected_components(known.filter(_similar()).select("a", "b"))
-    out = described.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts, F.col("rep") == F.col("id"), "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "rep"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = parts.join(classes.select(F.col("rep").alias("id"), "first"), "id").groupBy("component").agg(F.min("first").alias("top"))
+    parts = parts.join(named, "component").select("id", "top")
+    out = described.select("doc_id", "n_shingles", "k1", "k2", "h1", "h2").join(classes, ["h1", "h2"], "left").join(parts, F.col("rep") == F.col("id"), "left")
+    alone = F.col("n_shingles") == 0
+    out = out.withColumn("top", F.coalesce("top", "first"))
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id"))
+    kept = alone | ((F.col("k1") == F.col("top.k1")) & (F.col("k2") == F.col("top.k2")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), kept.alias("kept"), "k1", "k2")
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row per row of docs."""
+    return _rows(docs, text, doc_id).drop("k1", "k2")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without all but one document of each component; of rows with one doc_id, one stays."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))).drop("__kept")
-    return rows.dropDuplicates(["doc_id"])
+    """docs without all but one row of each component. Rows without a shingle all stay."""
+    kept = _rows(docs).filter("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), (F.col("n_shingles") == 0).alias("__alone")).distinct()
+    k1, k2 = _row_keys(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    rows = docs.withColumns({"__k1": k1, "__k2": k2}).join(kept, ["__k1", "__k2"])
+    rows = rows.withColumn("__row", F.when(F.col("__alone"), F.monotonically_increasing_id()))
+    return rows.dropDuplicates(["__k1", "__k2", "__row"]).select(*docs.columns)

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -81,6 +82,22 @@ def test_near_duplicates_of_odd_rows(odd_docs, no_docs):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in stay.collect()) == sorted({(g[0] is None, g[0] or 0) for g in got if g[3]})
 
 
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rng = random.Random(10)
+    texts = [" ".join(words(rng, 60)) for _ in range(9)]
+    near = lambda t: t + " end"
+    rows = [(None, texts[0]), (None, texts[1]), (None, near(texts[1])), (None, texts[2]), (40, near(texts[2])), (5, texts[3]), (5, texts[4]), (6, near(texts[4])), (6, texts[5]), (3, near(texts[5]))]
+    rows += [(7, texts[6]), (7, near(texts[6])), (8, texts[7]), (8, texts[7]), (None, ""), (None, None), (None, ""), (9, " "), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [(r["doc_id"], r["text"]) for r in neardup.deduplicated(docs).collect()]
+    left = Counter(out)
+    assert left[None, texts[0]] == 1 and left[None, texts[1]] + left[None, near(texts[1])] == 1
+    assert left[None, texts[2]] == 0 and left[40, near(texts[2])] == 1
+    assert left[5, texts[3]] == 1 and left[5, texts[4]] == 1 and left[6, near(texts[4])] == 0 and left[6, texts[5]] == 0 and left[3, near(texts[5])] == 1
+    assert left[7, texts[6]] + left[7, near(texts[6])] == 1 and left[8, texts[7]] == 1
+    assert left[None, ""] == 2 and left[None, None] == 1 and left[9, " "] == 1 and left[9, ""] == 1 and len(out) == 13
+
+
 def test_superminhash_estimates_similarity_with_less_variance():
     rng = np.random.default_rng(9)
     errors = []
