@@ -1,9 +1,11 @@
 """Document fingerprints by winnowing.
 
-Grams are runs of GRAM words (a word is a run of at most WORD_CHARS characters other than ASCII white space, so texts
-without spaces have words too), hashed to 31 bits; a text of fewer words is one gram. From every WINDOW consecutive
-grams the smallest hash is kept, the rightmost of equal ones, with its position. Two texts that share a passage of
-GRAM + WINDOW - 1 words share a fingerprint, wherever the passage stands: word positions don't enter the hash.
+Tokens are words (runs of characters other than ASCII white space) of WORD_CHARS characters at most; a longer run, as in
+texts without spaces, is taken code point by code point, so that no token depends on where its run begins. Grams are
+GRAM tokens, hashed by Rabin and Karp's rolling function (a polynomial of the tokens' hashes modulo a prime); a text of
+fewer tokens is one gram. From every WINDOW consecutive grams the smallest hash is kept, the rightmost of equal ones,
+with its position. Two texts that share a passage of GRAM + WINDOW - 1 tokens share a fingerprint, wherever the passage
+stands: positions don't enter the hash.
 
 A document's edited text needs the next document. Ids are dealt into ranges whose firsts also go to the range before
 (broadcast lists, CUTS + 1 times RANGES long at most), so that each range is complete and no task sees all documents.
@@ -21,12 +23,15 @@ from pyspark.sql import functions as F
 
 from . import common
 
-GRAM = 3
-WINDOW = 6
+GRAM = 5
+WINDOW = 4
 WORD_CHARS = 16
-RANGES, CUTS = 16_384, 2
+PRIME, BASE = (1 << 31) - 1, 1_103_515_245
+RANGES, CUTS = 131_072, 2
 ROWS_PER_RANGE = 500
 POSITIONS = 1 << 32
+_SOLID = r"[^\x20\x09-\x0D]"
+_TOKEN = rf"((?<!{_SOLID}){_SOLID}{{1,{WORD_CHARS}}}+(?!{_SOLID})|{_SOLID})"
 
 
 def bound(value: Column, body) -> Column:
@@ -36,15 +41,20 @@ def bound(value: Column, body) -> Column:
 
 def winnow(text: Column) -> Column:
     """array<bigint>, by position: hash * 2^32 + (2^32 - 1 - position), so that a smaller value is a smaller hash or, of equal ones, further right."""
-    words = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]{1,%d})" % WORD_CHARS), F.lit(1))
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    tokens = F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(1))
+    hashes = F.transform(tokens, lambda w: F.pmod(F.xxhash64(w), F.lit(PRIME)))
+
+    def filled(h: Column) -> Column:
+        """Few tokens are one gram: nothing stands where the others would."""
+        return F.when((F.size(h) > 0) & (F.size(h) < GRAM), F.concat(h, F.array_repeat(F.lit(0).cast("bigint"), F.greatest(GRAM - F.size(h), F.lit(0))))).otherwise(h)
 
     def grams(h: Column) -> Column:
-        rolled = F.transform(
-            F.slice(h, F.lit(1), F.greatest(F.size(h) - (GRAM - 1), F.lit(1))),
-            lambda x, i: F.shiftrightunsigned(F.xxhash64(x, *[F.get(h, i + k) for k in range(1, GRAM)]), 33) * F.lit(POSITIONS)
-            + (F.lit(POSITIONS - 1) - i.cast("long")),
-        )
+        def gram(x: Column, i: Column) -> Column:
+            for k in range(1, GRAM):
+                x = (x * F.lit(BASE) + F.get(h, i + k)) % F.lit(PRIME)
+            return x * F.lit(POSITIONS) + (F.lit(POSITIONS - 1) - i.cast("long"))
+
+        rolled = F.transform(F.slice(h, F.lit(1), F.greatest(F.size(h) - (GRAM - 1), F.lit(1))), gram)
         return F.when(F.size(h) > 0, rolled).otherwise(F.array().cast("array<bigint>"))
 
     def kept(v: Column) -> Column:
@@ -54,7 +64,7 @@ def winnow(text: Column) -> Column:
         )
         return F.array_distinct(least)
 
-    return bound(bound(hashes, grams), kept)
+    return bound(bound(bound(hashes, filled), grams), kept)
 
 
 def shown(fingerprint: Column) -> Column:
