@@ -1,34 +1,40 @@
 """Approximate nearest neighbours by largest inner product, with randomly rotated one-bit codes.
 
-Index. Vectors are dealt into cells around centroids. Of each, what remains beside its centroid is scaled to length one,
-rotated at random, and kept as one sign bit a dimension, with correction scalars: its length, its inner product with the
-centroid, and the inner product of the code with what it stands for.
+Index, a table in the shared folder. Vectors are dealt into cells around centroids. Of each, what remains beside its
+centroid is scaled to length one, rotated at random, and kept as one sign bit a dimension, packed in 64-bit words, with
+correction scalars: its length by its inner product with its code, and how far the estimate may be off.
 
-Search. A query visits the cells whose centroids promise most. There the signs that a vector's packed bits stand for and
-its scalars give an estimate of the inner product and an error bound. Only vectors whose upper bound reaches the query's
-floor, its k-th best score in the sample, are measured on the original vectors. A query that finds fewer than k that way
-is measured against every vector, so that each returns k.
+Search. A query visits the cells whose centroids promise most. There its rotated components are quantised to PLANES
+bits, and AND and bit counts of these planes and a vector's packed code give, with the scalars, an estimate of the inner
+product and an error bound. Only vectors whose upper bound reaches the query's floor, its k-th best score in the sample,
+are measured on the original vectors. A query that finds fewer than k that way is measured against every vector, in the
+same blocks, so that each returns k. In a block of some hundred queries nearly every vector is measured by one of them,
+so it travels beside its code.
 
 Fitted on SAMPLE vectors at most (those of the smallest id hashes): centroids, and how many cells a query visits, such
 that a share RECALL of the sample's true neighbours lies in them. Every vector is indexed. Cells are processed in blocks
-of vectors and queries, so neither a large cell nor many copies of one vector meet in one task; the best k of each block
-are merged by an aggregation.
+of vectors and queries, so neither a large cell nor many copies of one vector meet in one task; of the best k of each
+block, a window keeps k in each task before they are shuffled.
 
 Defined results: a vector that is null, empty, zero, of another length than most, or has a null or non-finite component
 neither asks nor answers; a null id doesn't either; repeated rows answer as often as they stand, but never a query of
-their own id, and ask once (with the smallest vector); ties go to the smaller vec_id; with k candidates or fewer all are returned; an empty table gives an empty
-result; extra columns are ignored.
+their own id, and ask once (with the smallest vector); ties go to the smaller vec_id; with k candidates or fewer all are
+returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, to_python
 
 K = 20
 SAMPLE = 16_384
@@ -40,6 +46,8 @@ BLOCK = 8_192
 QUERIES_PER_BLOCK = 1_024
 #: Bounds are so many standard deviations of the estimate wide; 99 of 100 neighbours lie within.
 EPSILON = 2.4
+#: Bits of a query's quantised components.
+PLANES = 4
 #: For rounding of single-precision bounds.
 SLACK = 1e-4
 
@@ -92,44 +100,61 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centroids
 
 
+def _packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    n, d = bits.shape
+    padded = np.zeros((n, -(-d // 64) * 64), bool)
+    padded[:, :d] = bits
+    return np.packbits(padded, axis=1).view(np.uint64)
+
+
 class Codes:
     """One-bit codes of vectors around a centroid, with what corrects their inner products."""
 
-    def __init__(self, vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> None:
+    def __init__(self, bits: np.ndarray, factor: np.ndarray, error: np.ndarray) -> None:
+        self.bits, self.factor, self.error = bits, factor, error
+        self.ones = np.bitwise_count(bits).sum(axis=1).astype(np.float32)
+
+    @staticmethod
+    def of(vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> Codes:
+        """centroid: one, or one for each vector."""
+        d = vectors.shape[1]
         rest = vectors - centroid
         length = np.linalg.norm(rest, axis=1)
         turned = rest @ rotation / np.maximum(length, 1e-12)[:, None]
-        self.dimensions = d = vectors.shape[1]
-        self.bits = _packed(turned > 0)
         share = np.maximum(np.abs(turned).sum(axis=1) / np.sqrt(d), 1e-6)  # <code, vector>
-        #: What one unit of <query, code> stands for, and how far, for a query of length one, the estimate may be off.
-        self.factor = (length / share / np.sqrt(d)).astype(np.float32)
-        self.error = (EPSILON * length * np.sqrt(np.maximum(1 - share**2, 0)) / share / np.sqrt(max(d - 1, 1))).astype(np.float32)
+        # What one unit of <query, code> stands for, and how far, for a query of length one, the estimate may be off.
+        factor = (length / share / np.sqrt(d)).astype(np.float32)
+        error = (EPSILON * length * np.sqrt(np.maximum(1 - share**2, 0)) / share / np.sqrt(max(d - 1, 1))).astype(np.float32)
+        return Codes(_packed(turned > 0), factor, error)
 
     def bounds(self, queries: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Upper bounds of inner products, queries x vectors, and the errors within: the estimate is upper minus error.
-
-        Base, scaled signs and error are one matrix, so that a block's bounds are one product.
-        """
-        signs = np.unpackbits(self.bits.view(np.uint8), axis=1)[:, : self.dimensions].astype(np.float32) * 2 - 1
-        ours = np.hstack([signs * self.factor[:, None], np.ones((len(signs), 1), np.float32), self.error[:, None]])
-        norm = np.linalg.norm(queries, axis=1)[:, None]
-        theirs = np.hstack([queries @ rotation, (queries @ centroid)[:, None], norm]).astype(np.float32)
-        return theirs @ ours.T, norm * self.error
-
-
-def _packed(bits: np.ndarray) -> np.ndarray:
-    n, d = bits.shape
-    padded = np.zeros((n, -(-d // 64) * 64), bool)
-    padded[:, :d] = bits
-    return np.packbits(padded, axis=1).view(np.uint64)
-
-
-def _best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, vectors: np.ndarray, centroid: np.ndarray, rotation: np.ndarray, k: int) -> pd.DataFrame:
+        """Upper bounds of inner products, queries x vectors, and the errors within: the estimate is upper minus error."""
+        turned = (queries @ rotation).astype(np.float32)
+        low = turned.min(axis=1, keepdims=True)
+        step = np.maximum(turned.max(axis=1, keepdims=True) - low, 1e-12) / ((1 << PLANES) - 1)
+        level = np.rint((turned - low) / step).astype(np.uint8)
+        kind = np.uint16 if turned.shape[1] << PLANES < 1 << 16 else np.uint32
+        counted = np.zeros((len(queries), len(self.bits)), kind)
+        for j in range(PLANES):
+            plane = _packed((level >> j & 1).astype(bool))
+            for w in range(self.bits.shape[1]):
+                counted += np.bitwise_count(plane[:, w, None] & self.bits[None, :, w]).astype(kind) << j
+        # <quantised query, code> = 2 <it, ones> - its sum, where <it, ones> = low * ones + step * counted.
+        product = counted * (2 * step)
+        product += 2 * low * self.ones
+        product -= low * turned.shape[1] + step * level.sum(axis=1, keepdims=True, dtype=np.float32)
+        norm = np.linalg.norm(queries, axis=1, keepdims=True).astype(np.float32)
+        rounding = EPSILON * step * np.sqrt(turned.shape[1] / 12)
+        error = norm * self.error + rounding * self.factor
+        return (queries @ centroid)[:, None].astype(np.float32) + product * self.factor + error, error
+
+
+def _best(query_ids: np.ndarray, queries: np.ndarray, floors: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: Codes, centroid: np.ndarray, rotation: np.ndarray, k: int) -> pd.DataFrame:
     """The k best of a block for each query, among those that reach the query's floor. A query with the floor -inf is measured against all."""
-    codes, out = Codes(vectors, centroid, rotation), []
-    for start in range(0, len(queries), 256):
-        part = slice(start, start + 256)
+    out = []
+    for start in range(0, len(queries), 128):
+        part = slice(start, start + 128)
         q, qi = queries[part], query_ids[part]
         floor = floors[part, None] - SLACK
         if np.isneginf(floor).any():
@@ -164,10 +189,12 @@ def _search(indexed: DataFrame, held: DataFrame, asked: DataFrame, shipped, k: i
         if not len(vs) or not len(qs):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         p = shipped.value
-        return _best(qs["query_id"].to_numpy(), np.stack(qs["v"].to_numpy()), qs["floor"].to_numpy(), vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()), p.centroids[int(key[0])], p.rotation, k)
+        bits = np.frombuffer(b"".join(vs["code"]), np.uint64).reshape(len(vs), -1)
+        codes = Codes(bits, vs["factor"].to_numpy(np.float32), vs["error"].to_numpy(np.float32))
+        return _best(qs["query_id"].to_numpy(), np.stack(qs["v"].to_numpy()), qs["floor"].to_numpy(), vs["vec_id"].to_numpy(), np.stack(vs["v"].to_numpy()), codes, p.centroids[int(key[0])], p.rotation, k)
 
     by = ("cell", "vb", "qb")
-    groups = left.select(*by, "vec_id", "v").groupBy(*by).cogroup(right.select(*by, "query_id", "v", "floor").groupBy(*by))
+    groups = left.select(*by, "vec_id", "v", "code", "factor", "error").groupBy(*by).cogroup(right.select(*by, "query_id", "v", "floor").groupBy(*by))
     return groups.applyInPandas(search, "query_id long, vec_id long, score double")
 
 
@@ -187,9 +214,14 @@ def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", em
     plan = Plan(np.array([r["v"] for r in chosen]), lengths["count"])
     shipped = spark.sparkContext.broadcast(plan)
 
-    @F.pandas_udf(T.IntegerType())
-    def cell_of(x: pd.Series) -> pd.Series:
-        return pd.Series(shipped.value.cell_of(np.stack(x.to_numpy())).astype(np.int32)) if len(x) else pd.Series([], dtype="int32")
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shipped.value
+        for batch in batches:
+            v = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)
+            cell = p.cell_of(v)
+            codes = Codes.of(v, p.centroids[cell], p.rotation)
+            columns = [pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in codes.bits], pa.binary()), pa.array(codes.factor), pa.array(codes.error)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["vec_id", "v", "cell", "code", "factor", "error"])
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def visited(x: pd.Series) -> pd.Series:
@@ -199,7 +231,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", em
     def floor_of(x: pd.Series) -> pd.Series:
         return pd.Series(shipped.value.floors(np.stack(x.to_numpy()), k)) if len(x) else pd.Series([], dtype=float)
 
-    indexed = materialize(rows.withColumn("cell", cell_of("v")), "vectors")
+    indexed = materialize(to_python(rows).mapInArrow(index, "vec_id long, v array<double>, cell int, code binary, factor float, error float"), "vectors")
     held = materialize(indexed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("v_blocks")), "cells")  # MAX_CELLS rows at most
     asked = materialize(indexed.filter(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).select("query_id", "v", floor_of("v").alias("floor"), visited("v").alias("cells")), "queries")
     found = materialize(_search(indexed, held, asked.select("query_id", "v", "floor", F.explode("cells").alias("cell")), shipped, k), "found")
@@ -210,7 +242,5 @@ def nearest(vectors: DataFrame, is_query, k: int = K, vec_id: str = "vec_id", em
         cells = F.array(*[F.lit(r["cell"]) for r in held.select("cell").collect()])
         every = short.withColumn("cell", F.explode(cells))
         found = found.join(short.select("query_id"), "query_id", "left_anti").union(_search(indexed, held, every, shipped, k))
-    # Every block gives k rows for a query at most, so the rows of a query are bounded by k times the blocks it visits.
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
-    out = merged.select("query_id", F.posexplode("best").alias("at", "b"))
-    return out.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")  # a limit by rank keeps k of a query in each task before the shuffle
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
