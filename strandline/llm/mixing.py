@@ -1,21 +1,22 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every document of a source joins that source's queue in a shuffled order (by the MD5 of its id). A queue is served at a
+Every document of a source joins that source's queue in a shuffled order (by the MD5 of its id, source and text). A queue is served at a
 rate of its target, so a document's virtual finish time is the source's cumulative words up to and with the document,
 divided by the target. A source whose target is above its size is played again, MAX_REPEATS times at most. All
 (document, pass) entries are range-sorted by finish time, and the mix is the longest prefix that fits the total budget.
 
 Nothing is ordered in one task: queues are cut into cells by hash prefix and the global order into ranges of finish
-time; windows run inside a cell or range, and only the sums of cells and ranges are ordered as a whole.
+time; windows run inside a cell or range, and sums of cells and ranges are themselves summed in blocks first.
 
 Defined results: a null or empty text has size 0 and taken 0; a null source is a source of its own, ordered last; rows
-with a repeated doc_id are separate documents; a null doc_id is shuffled as the empty text; an empty table gives an
-empty result; extra columns are ignored.
+with a repeated doc_id are separate documents, and those with equal source and text too are interchangeable; a null
+doc_id is shuffled as the empty text; an empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,8 +57,11 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def _shuffle_key(doc_id: str):
-    return F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+def _shuffle_key(doc_id: str, source: str, text: str) -> Column:
+    """Rows with one key are equal in all that the mix looks at, so neither null nor repeated ids gather in one cell."""
+    own = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(""))
+    body = F.md5(common.text_or_empty(text).cast("binary"))
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(doc_id).cast("string"), F.lit("")), own, body).cast("binary"))
 
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
@@ -68,7 +72,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
             F.col(source).isNull().alias("is_null"),
             F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source_key"),
             common.word_count(common.text_or_empty(text)).alias("size"),
-            _shuffle_key(doc_id).alias("h"),
+            _shuffle_key(doc_id, source, text).alias("h"),
         ),
         "mix-sizes",
     )
@@ -81,9 +85,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     cells = sizes.join(targets.select(*by_source, "source_size", "n_docs", "target", "rank"), by_source)
     share = F.conv(F.substring("h", 1, 6), 16, 10).cast("long") * F.ceil(F.col("n_docs") / ROWS_PER_CELL)
     cells = cells.withColumn("cell", F.shiftright(share, 24))
-    offsets = cells.groupBy("rank", "cell").agg(F.sum("size").alias("cell_size"))
-    offsets = offsets.select("rank", "cell", (F.sum("cell_size").over(_running(["cell"], "rank")) - F.col("cell_size")).alias("offset"))
-    inside = F.sum("size").over(_running(["h", "doc_id", "size"], "rank", "cell"))
+    offsets = common.sums_before(cells.groupBy("rank", "cell").agg(F.sum("size").alias("cell_size")), ["rank"], "cell", "cell_size", "offset").drop("cell_size")
+    inside = F.sum("size").over(_running(["h"], "rank", "cell"))
     queued = cells.withColumn("inside", inside).join(offsets, ["rank", "cell"])
     queued = queued.withColumn("upto", F.col("offset") + F.col("inside")).drop("cell", "inside", "offset")
     queued = common.materialize(queued, "mix-queued")
@@ -98,13 +101,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         .withColumn("range", F.floor(F.least(F.col("finish"), F.lit(1e6)) * n_ranges))
     )
     ranges = entries.groupBy("range").agg(F.sum("size").alias("range_size"))
-    ranges = ranges.withColumn("through", F.sum("range_size").over(_running(["range"])))
-    split = ranges.filter(F.col("through") > F.lit(budget)).orderBy("range").first()
+    ranges = common.materialize(common.sums_before(ranges, [], "range", "range_size", "before"), "mix-ranges")
+    split = ranges.filter(F.col("before") + F.col("range_size") > F.lit(budget)).orderBy("range").first()
     if split is None:
         copies = F.lit(MAX_REPEATS)
     else:
         key = ["finish", "rank", "pass"]
-        room = budget - (split["through"] - split["range_size"])
+        room = budget - split["before"]
         served = entries.filter(F.col("range") == split["range"]).withColumn("served", F.sum("size").over(_running([*key, "h"])))
         last = served.filter(F.col("served") <= room).agg(F.max(F.struct(*key)).alias("last")).first()["last"]
         copies = F.lit(0)
@@ -123,19 +126,19 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """docs' rows as the mix plays them: a row for every pass that takes it, none for a row that the budget leaves out."""
-    plan = mix(docs)
-    nth = lambda size: F.row_number().over(W.partitionBy("__h").orderBy(size))  # noqa: E731  rows with one doc_id: by size
-    plan = plan.select(F.col("h").alias("__h"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
-    plan = plan.withColumn("__nth", nth("__size")).select("__h", "__nth", "__copies")
-    rows = docs.withColumn("__h", _shuffle_key("doc_id")).withColumn("__size", common.word_count(common.text_or_empty("text")))
-    rows = rows.withColumn("__nth", nth("__size")).join(plan, ["__h", "__nth"]).filter("__copies > 0")
-    rows = rows.withColumn("__pass", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return rows.select(*docs.columns)
+    h, nth, copies = common.unused(docs, "h", "nth", "copies")
+    number = F.row_number().over(W.partitionBy(h).orderBy(F.lit(0)))  # rows of one key are interchangeable
+    plan = mix(docs).select(F.col("h").alias(h), F.col("copies").alias(copies)).withColumn(nth, number)
+    rows = docs.withColumn(h, _shuffle_key("doc_id", "source", "text")).withColumn(nth, number)
+    rows = rows.join(plan, [h, nth]).filter(F.col(copies) > 0)
+    # sequence() of a pass number: explode multiplies the row, under a name that nothing else has.
+    return rows.select(*common.quoted(*docs.columns), F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(h)).drop(h)
 
 
 #: DuckDB SQL for (doc_id, size, source_size, target, taken) over documents.
 ORACLE = f"""
-WITH d AS (SELECT doc_id, source IS NULL AS is_null, coalesce(source, '') AS k, md5(coalesce(doc_id::VARCHAR, '')) AS h,
+WITH d AS (SELECT doc_id, source IS NULL AS is_null, coalesce(source, '') AS k,
+             md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce('s' || source, '') || '|' || md5(coalesce(text, ''))) AS h,
              len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
 s AS (SELECT is_null, k, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY is_null, k) AS rank FROM d GROUP BY is_null, k),
 w AS (SELECT *, (rank - 1) % 3 + 1 AS weight FROM s),
@@ -145,7 +148,7 @@ l AS (SELECT *, sum(source_size) OVER () AS total,
 water AS (SELECT arg_min(level, [source_size / weight, rank]) AS water FROM l WHERE level * weight <= source_size * {MAX_REPEATS}),
 t AS (SELECT l.*, least(coalesce(water, 0.0) * weight, (source_size * {MAX_REPEATS})::DOUBLE) AS target FROM l, water),
 q AS (SELECT d.doc_id, d.size, t.source_size, t.target, t.total, t.rank, d.h,
-        sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) AS upto
+        sum(d.size) OVER (PARTITION BY t.rank ORDER BY d.h ROWS UNBOUNDED PRECEDING) AS upto
       FROM d JOIN t ON d.k = t.k AND d.is_null = t.is_null),
 e AS (SELECT q.*, p AS pass, (upto + p * source_size)::DOUBLE / target AS finish FROM q, (SELECT unnest(range({MAX_REPEATS})) AS p) WHERE size > 0 AND target > 0),
 c AS (SELECT *, sum(size) OVER (ORDER BY finish, rank, pass, h ROWS UNBOUNDED PRECEDING) AS served FROM e),
