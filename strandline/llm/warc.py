@@ -13,8 +13,9 @@ a longer record by itself).
 
 Defined results: a null html is an empty payload; an empty payload is a payload like others; a null url gives a record
 without a target; of repeated rows with the largest page_id of a payload, each is a response; a null page_id revisits
-the largest of its payload, and is a response if there is none; an empty table gives an empty result; extra columns are
-ignored.
+the largest of its payload, and is a response if there is none; a record's ID is of page_id and digest, so only rows that
+are equal in both share one; a url with line breaks stands in a header of its own, in base64, and comes back as it was;
+an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_folder
+from .common import materialize, new_folder, to_python
 
 MIN_BYTES = 0
 FILE_BYTES, LEVEL = 1 << 30, 6
@@ -46,15 +47,20 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _urn(page_id: int | None) -> str:
-    return f"<urn:page:{'' if page_id is None else page_id}>"
+def _urn(page_id: int | None, sha1: str) -> str:
+    return f"<urn:page:{'' if page_id is None else page_id}:{sha1}>"
+
+
+def _page(urn: str) -> int | None:
+    found = re.fullmatch(r"<urn:page:(-?\d+):\w+>", urn)
+    return int(found[1]) if found else None
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refers_to: int | None, revisit: bool) -> bytes:
     """One WARC/1.1 record, compressed. A revisit's block is empty; its own field tells the full payload's length."""
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _urn(page_id)),
+        ("WARC-Record-ID", _urn(page_id, sha1)),
         ("WARC-Date", DATE),
         ("WARC-Payload-Digest", f"sha1:{sha1}"),
         ("X-Payload-Length", str(len(payload))),
@@ -62,8 +68,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, sha1: str, refe
     ]
     if url is not None:
         fields.append(("WARC-Target-URI", re.sub(r"[\r\n]+", " ", url)))
+        if "\r" in url or "\n" in url:
+            fields.append(("X-Target-URI-Base64", base64.b64encode(url.encode()).decode()))
     if revisit:
-        fields.append(("WARC-Refers-To", _urn(refers_to)))
+        fields.append(("WARC-Refers-To", _urn(refers_to, sha1)))
         fields.append(("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     block = b"" if revisit else payload
     fields.append(("Content-Length", str(len(block))))
@@ -85,7 +93,8 @@ def _roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     """(page_id, sha1, refers_to), a row for each different pair: the page each payload refers to. No html is shuffled."""
     narrow = pages.select("page_id", F.sha1("payload").alias("sha1"), F.length("payload").alias("n"))
     largest = narrow.filter(F.col("n") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("refers_to"))
-    return narrow.select("page_id", "sha1").distinct().join(largest, "sha1", "left")
+    # As a table, so that the join is of two plain exchanges, and the many pages of one payload are split.
+    return narrow.select("page_id", "sha1").distinct().join(materialize(largest, "warc-largest"), "sha1", "left")
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -121,7 +130,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES) -> DataFram
             if out is not None:
                 out.close()
 
-    return materialize(rows.mapInArrow(run, _INDEX), "warc-index")
+    return materialize(to_python(rows).mapInArrow(run, _INDEX), "warc-index")
 
 
 def _reads(rows: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
@@ -142,12 +151,15 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(folder)
         name, source = None, None
+        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
+        types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
         for batch in batches:
-            out = []
             for group in _reads(list(zip(*(c.to_pylist() for c in batch.columns), strict=True))):
                 if group[0][0] != name:
+                    if source is not None:
+                        source.close()
                     name, source = group[0][0], store.open_input_file(f"{path}/{group[0][0]}")
-                start = group[0][1]
+                out, start = [], group[0][1]
                 source.seek(start)
                 data = source.read(group[-1][1] + group[-1][2] - start)
                 for _, offset, length in group:
@@ -156,11 +168,9 @@ def read(selected: DataFrame, folder: str) -> DataFrame:
                     kind = fields["WARC-Type"]
                     if kind == "response" and digest(block) != sha1:
                         raise ValueError(f"{name} at {offset}: the payload doesn't have its digest")
-                    number = lambda f: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", fields.get(f, ""))) else None  # noqa: E731, B023
-                    out.append((number("WARC-Record-ID"), int(fields["X-Payload-Length"]), sha1, kind, number("WARC-Refers-To"), fields.get("WARC-Target-URI"), block))
-            names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload"]
-            types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
+                    url = base64.b64decode(fields["X-Target-URI-Base64"]).decode() if "X-Target-URI-Base64" in fields else fields.get("WARC-Target-URI")
+                    out.append((_page(fields["WARC-Record-ID"]), int(fields["X-Payload-Length"]), sha1, kind, _page(fields.get("WARC-Refers-To", "")), url, block))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
 
     block = F.floor(F.col("offset") / BLOCK)
     rows = selected.select("file", "offset", "length").withColumn("block", block)
