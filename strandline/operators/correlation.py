@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from dataclasses import dataclass
+from collections.abc import Iterable, Iterator, Mapping
+from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
+
+#: Columns of a tile of pairs.
+TILE = 512
+#: A side whose sum of squares about the mean is so small a share of the sum about the shift is constant but for rounding.
+ROUNDING = 1e-13
+#: Edges that an election reads; more mean that whole families are copies of each other.
+MAX_EDGES = 2_000_000
+
 
 @dataclass(frozen=True)
 class Thresholds:
@@ -51,32 +62,94 @@ def thirds(panel: DataFrame, time: str = "ts") -> DataFrame:
     return panel.crossJoin(F.broadcast(bounds)).withColumn("third", third.cast("long")).drop("b2", "b3")  # bounds is one row
 
 
+def _tiled(panel: DataFrame, families: Mapping[str, Iterable[str]], limits: Thresholds | None, time: str | None) -> DataFrame:
+    """(family, left, right, full_corr, full_support, corr_1..3, support_1..3) of the pairs that have a row, or of those that pass the limits.
+
+    Six sums of a pair (rows, both sums, both sums of squares, products) over the rows where both sides are present are
+    matrix products of a tile's columns and their masks; without NULL in a block of rows, only the products are. Without
+    a time there are no thirds.
+    """
+    names = {name: list(fs) for name, fs in families.items()}
+    features = list(dict.fromkeys(f for fs in names.values() for f in fs))
+    at = {f: k for k, f in enumerate(features)}
+    tiles = []
+    for name, fs in names.items():
+        cuts = [fs[k : k + TILE] for k in range(0, len(fs), TILE)]
+        tiles += [(name, a, b, j == k) for j, a in enumerate(cuts) for k, b in enumerate(cuts) if j <= k]
+    places = [(np.array([at[f] for f in a]), np.array([at[f] for f in b])) for _, a, b, _ in tiles]
+    rows = blocks.packed(panel, features, () if time is None else (time,))
+    if time is not None:
+        rows = thirds(rows, time)
+
+    def partial(labels: np.ndarray, x: np.ndarray, wanted: Iterable[int]) -> Iterator[tuple[int, int, np.ndarray]]:
+        parts = [(int(label), labels == label) for label in np.unique(labels)]
+        for tile in wanted:
+            i, j = places[tile]
+            left, right = x[:, i], x[:, j]
+            for label, own in parts:
+                a, b = left[own], right[own]
+                m, n = np.isfinite(a), np.isfinite(b)
+                if m.all() and n.all():
+                    vectors = [a.sum(axis=0), b.sum(axis=0), (a * a).sum(axis=0), (b * b).sum(axis=0)]
+                    yield tile, 2 * label, np.concatenate([[len(a)], *vectors, (a.T @ b).ravel()])
+                else:
+                    a, b, m, n = np.where(m, a, 0.0), np.where(n, b, 0.0), m.astype(float), n.astype(float)
+                    yield tile, 2 * label + 1, np.concatenate([p.ravel() for p in (m.T @ n, a.T @ n, m.T @ b, (a * a).T @ n, m.T @ (b * b), a.T @ b)])
+
+    def final(tile: int, parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple]:
+        name, left, right, diagonal = tiles[tile]
+        p, q = len(left), len(right)
+        sums = np.zeros((4, 6, p, q))
+        for kind, s in parts:
+            own = sums[kind // 2]
+            if kind % 2:
+                own += s.reshape(6, p, q)
+            else:
+                vectors = np.split(s[1 : 1 + 2 * (p + q)], [p, p + q, 2 * p + q])
+                own[0] += s[0]
+                for k, v in zip((1, 2, 3, 4), vectors, strict=True):
+                    own[k] += v[:, None] if k % 2 else v[None, :]
+                own[5] += s[1 + 2 * (p + q) :].reshape(p, q)
+        sums[0] += sums[1:].sum(axis=0)
+        n = sums[:, 0]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            xx, yy, xy = (sums[:, 3] - sums[:, 1] ** 2 / n, sums[:, 4] - sums[:, 2] ** 2 / n, sums[:, 5] - sums[:, 1] * sums[:, 2] / n)
+            corr = np.where((n >= 2) & (xx > ROUNDING * sums[:, 3]) & (yy > ROUNDING * sums[:, 4]), np.minimum(np.abs(xy) / np.sqrt(xx * yy), 1.0), np.nan)
+        wanted = n[0] > 0
+        if limits is not None:
+            wanted &= (corr[0] >= limits.full) & (n[0] >= limits.full_support)
+            for k in (1, 2, 3):
+                wanted &= (corr[k] >= limits.third) & (n[k] >= limits.third_support)
+        if diagonal:
+            wanted &= np.triu(np.ones((p, q), bool), 1)
+        for i, j in zip(*np.nonzero(wanted), strict=True):
+            c = [None if np.isnan(v) else float(v) for v in corr[:, i, j]]
+            yield name, left[i], right[j], c[0], int(n[0, i, j]), *c[1:], *(int(v) for v in n[1:, i, j])
+
+    corrs, supports = [f"corr_{k}" for k in (1, 2, 3)], [f"support_{k}" for k in (1, 2, 3)]
+    columns = ["family", "left", "right", "full_corr", "full_support", *corrs, *supports]
+    types = [pa.string()] * 3 + [pa.float64(), pa.int64()] + [pa.float64()] * 3 + [pa.int64()] * 3
+    sql = {pa.string(): "string", pa.float64(): "double", pa.int64(): "long"}
+    schema = ", ".join(f"`{c}` {sql[t]}" for c, t in zip(columns, types, strict=True))
+    return blocks.summed(rows, F.lit(0) if time is None else F.col("third"), len(features), len(tiles), partial, final, columns, types, schema)[0]
+
+
 def pair_correlations(panel: DataFrame, families: Mapping[str, Iterable[str]]) -> DataFrame:
-    return pairs(panel, families).groupBy("family", "left", "right").agg(abs_corr().alias("abs_corr"), F.count("*").alias("support"))
+    return _tiled(panel, families, None, None).select("family", "left", "right", F.col("full_corr").alias("abs_corr"), F.col("full_support").alias("support"))
 
 
 def third_correlations(panel: DataFrame, families: Mapping[str, Iterable[str]], time: str = "ts") -> DataFrame:
-    rows = pairs(thirds(panel, time), families, ("third",))
-    return rows.groupBy("family", "left", "right", "third").agg(abs_corr().alias("abs_corr"), F.count("*").alias("support"))
+    rows = _tiled(panel, families, None, time)
+    one = lambda k: F.struct(F.lit(k).cast("long").alias("third"), F.col(f"corr_{k}").alias("abs_corr"), F.col(f"support_{k}").alias("support"))
+    return rows.select("family", "left", "right", F.explode(F.array(*[one(k) for k in (1, 2, 3)])).alias("t")).select("family", "left", "right", "t.*").filter("support > 0")
 
 
 def stable_edges(panel: DataFrame, families: Mapping[str, Iterable[str]], limits: Thresholds, time: str = "ts") -> DataFrame:
     """(family, left, right, full_corr, full_support, corr_1..3, support_1..3) of pairs redundant in the full window and in each third.
 
-    One pass: sums of the thirds and of the whole come from the same pair rows.
+    One pass over the rows; sums of the thirds make those of the whole.
     """
-    rows = pairs(thirds(panel, time), families, ("third",))
-    aggregates = [abs_corr().alias("full_corr"), F.count("*").alias("full_support")]
-    for k in (1, 2, 3):
-        x, y = F.when(F.col("third") == k, F.col("x")), F.when(F.col("third") == k, F.col("y"))
-        n = F.regr_count(y, x)
-        corr = F.when(n >= 2, F.abs(F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))))
-        aggregates += [corr.alias(f"corr_{k}"), n.alias(f"support_{k}")]
-    edges = rows.groupBy("family", "left", "right").agg(*aggregates)
-    test = (F.col("full_corr") >= limits.full) & (F.col("full_support") >= limits.full_support)
-    for k in (1, 2, 3):
-        test = test & (F.col(f"corr_{k}") >= limits.third) & (F.col(f"support_{k}") >= limits.third_support)
-    return edges.filter(test)
+    return _tiled(panel, families, limits, time)
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -89,42 +162,64 @@ def degrees(edges: DataFrame) -> DataFrame:
 class Election:
     representatives: tuple[str, ...]
     removed: dict[str, str]  # feature -> its representative
+    edges: dict[tuple[str, str], dict] = field(default_factory=dict, compare=False)  # (removed, representative) -> the stable edge between them
+
+
+def _median(values: list[float]) -> float:
+    values, h = sorted(values), len(values) // 2
+    return 0.0 if not values else values[h] if len(values) % 2 else (values[h - 1] + values[h]) / 2
 
 
 def elect_leaders(edges: Iterable[tuple[str, str, float]], features: Mapping[str, tuple]) -> Election:
     """Greedy: the feature with most remaining redundant partners, then the higher median correlation, then the smaller key, leads and removes its direct partners.
 
-    edges: (left, right, corr), a few thousand at most by the stability test. features: each feature's own tie-break key,
-    smaller first (for families: -coverage, name; across families: is_pc, ordinal, name).
+    edges: (left, right, corr). features: each feature's own tie-break key, smaller first (for families: -coverage, name;
+    across families: is_pc, ordinal, name). Only partners of what was removed are looked at again.
     """
     near: dict[str, dict[str, float]] = {f: {} for f in features}
     for a, b, corr in edges:
         near[a][b] = near[b][a] = corr
-    left, leaders, removed = set(features), [], {}
-
-    def median(values: list[float]) -> float:
-        values, h = sorted(values), len(values) // 2
-        return 0.0 if not values else values[h] if len(values) % 2 else (values[h - 1] + values[h]) / 2
-
-    while left:
-        partners = {f: [c for g, c in near[f].items() if g in left] for f in left}
-        best = min(left, key=lambda f: (-len(partners[f]), -median(partners[f]), *features[f]))
+    rank = lambda f: (-len(near[f]), -_median(list(near[f].values())), *features[f])
+    linked, leaders, removed = {f: rank(f) for f in features if near[f]}, [], {}
+    while linked:
+        best = min(linked, key=linked.get)
         leaders.append(best)
-        for g in near[best]:
-            if g in left:
+        gone = [*near[best], best]
+        touched = set()
+        for g in gone:
+            if g != best:
                 removed[g] = best
-                left.discard(g)
-        left.discard(best)
-    return Election(tuple(leaders), removed)
+            linked.pop(g, None)
+            touched |= near[g].keys()
+        for f in touched.difference(gone):
+            for g in gone:
+                near[f].pop(g, None)
+            if near[f]:
+                linked[f] = rank(f)
+            else:
+                linked.pop(f, None)
+        for g in gone:
+            near[g] = {}
+    done = {*leaders, *removed}
+    return Election((*leaders, *sorted((f for f in features if f not in done), key=rank)), removed)
 
 
 def prune(panel: DataFrame, families: Mapping[str, Iterable[str]], limits: Thresholds, key=None, time: str = "ts") -> dict[str, Election]:
-    """Each family's election. Only its edges and names come to the driver."""
+    """Each family's election. Only its edges (MAX_EDGES, which is checked) and names come to the driver."""
     key = key or (lambda f: (f,))
-    edges: dict[str, list] = {name: [] for name in families}
-    for r in stable_edges(panel, families, limits, time).select("family", "left", "right", "full_corr").toLocalIterator():
-        edges[r["family"]].append((r["left"], r["right"], r["full_corr"]))
-    return {name: elect_leaders(edges[name], {f: key(f) for f in fs}) for name, fs in families.items()}
+    families = {name: list(fs) for name, fs in families.items()}
+    found = stable_edges(panel, families, limits, time).limit(MAX_EDGES + 1).collect()
+    if len(found) > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} stable edges: families are copies of each other")
+    edges: dict[str, dict] = {name: {} for name in families}
+    for r in found:
+        edges[r["family"]][r["left"], r["right"]] = r
+    out = {}
+    for name, fs in families.items():
+        e = elect_leaders([(a, b, r["full_corr"]) for (a, b), r in edges[name].items()], {f: key(f) for f in fs})
+        between = {(f, lead): (edges[name].get((f, lead)) or edges[name][lead, f]).asDict() for f, lead in e.removed.items()}
+        out[name] = Election(e.representatives, e.removed, between)
+    return out
 
 
 def spearman_distance(panel: DataFrame, families: Mapping[str, Iterable[str]]) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +30,9 @@ KEYS = {
 }
 
 
+_LOG = "seq BIGINT, scope STRING, bundle_hash STRING, commits ARRAY<STRING>"
+
+
 class Conflict(ValueError):
     """A key is stored already, with other values."""
 
@@ -62,18 +69,81 @@ class EvidenceStore:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _commits(self) -> list[str]:
+    def _log(self) -> list:
+        """(seq, scope, bundle_hash, commits) of every commit, in order. commits are table:folder."""
         try:
-            return sorted(r[0] for r in self.spark.read.schema("commit STRING").json(f"{self.root}/_log").distinct().collect())
+            return sorted(set(map(tuple, self.spark.read.schema(_LOG).json(f"{self.root}/_log").select("seq", "scope", "bundle_hash", F.concat_ws(" ", "commits")).collect())))
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 return []
             raise
 
+    def _commits(self) -> list[str]:
+        return [c for row in self._log() for c in row[3].split()]
+
+    def _append(self, log: list, scope: str, bundle_hash: str, commits: list[str]) -> None:
+        """One line in one file, which the write's own commit renames into place: readers see all of it or nothing."""
+        seq = (log[-1][0] if log else 0) + 1
+        self.spark.createDataFrame([(seq, scope, bundle_hash, commits)], _LOG).coalesce(1).write.mode("append").json(f"{self.root}/_log")
+
     def read(self, table: str) -> DataFrame:
-        paths = [f"{self.root}/{table}/{c.split(':')[1]}" for c in self._commits() if c.split(":")[0] == table]
+        """The table's rows; of several commits of one key (only an upsert makes them) the last one's."""
+        parts = [c.split(":")[1] for c in self._commits() if c.split(":")[0] == table]
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[table])
         reader = self.spark.read.schema(TABLES[table])
-        return reader.parquet(*paths) if paths else self.spark.createDataFrame([], TABLES[table])
+        if not any(p.startswith("upsert-") for p in parts):
+            return reader.parquet(*[f"{self.root}/{table}/{p}" for p in parts])
+        out = reader.parquet(f"{self.root}/{table}/{parts[0]}")
+        for p in parts[1:]:
+            new = reader.parquet(f"{self.root}/{table}/{p}")
+            out = upsert(out, new, KEYS[table]) if p.startswith("upsert-") else out.unionByName(new)
+        return out
+
+    def _typed(self, table: str, rows: list[dict] | DataFrame) -> DataFrame:
+        fields = self.spark.createDataFrame([], TABLES[table]).schema
+        if isinstance(rows, list):
+            return self.spark.createDataFrame([tuple(r.get(f.name) for f in fields) for r in rows], fields)
+        return rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in fields])
+
+    def commit_fold(self, bundle: dict[str, list[dict]]) -> bool:
+        """All six tables of a fold in one commit. False: the same bundle is stored already. Conflict: another bundle of this fold is, or a feature's identity
+        has other values. Features that are known are not written again. Until the log has its line, nothing of the bundle is read."""
+        if set(bundle) != set(TABLES):
+            raise ValueError(f"a bundle has the tables {sorted(TABLES)}")
+        scopes = {tuple(r[k] for k in SCOPE_KEYS) for t, rows in bundle.items() if t != "feature_registry" for r in rows}
+        if len(scopes) != 1:
+            raise ValueError("all rows of a bundle share one fold, profile and build")
+        scope = "|".join(map(str, next(iter(scopes))))
+        bundle_hash = hashlib.sha256(json.dumps(bundle, sort_keys=True, default=str).encode()).hexdigest()
+        log = self._log()
+        if stored := {row[2] for row in log if row[1] == scope and not row[2].startswith("upsert")}:
+            if stored != {bundle_hash}:
+                raise Conflict(f"{scope}: stored with another content")
+            return False
+        registry = self._typed("feature_registry", bundle["feature_registry"])
+        known, keys = self.read("feature_registry"), KEYS["feature_registry"]
+        if clash := conflicts(known, registry, keys).limit(1).collect():
+            raise Conflict(f"feature_registry: {clash[0].asDict()}")
+        commits = []
+        for table, rows in bundle.items():
+            fresh = absent(known, registry, keys) if table == "feature_registry" else self._typed(table, [r | ({"bundle_hash": bundle_hash} if table == "fold_model_stats" else {}) for r in rows])
+            fresh.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/{table}/{bundle_hash}")
+            commits.append(f"{table}:{bundle_hash}")
+        self._append(log, scope, bundle_hash, commits)
+        return True
+
+    def upsert(self, table: str, rows: list[dict] | DataFrame) -> bool:
+        """Last writer wins by key: rows replace what is stored. False without rows."""
+        rows = self._typed(table, rows)
+        if rows.groupBy(*KEYS[table]).count().filter("count > 1").limit(1).count():
+            raise Conflict(f"{table}: a key twice in one commit")
+        log, name = self._log(), f"upsert-{uuid.uuid4().hex}"
+        if rows.isEmpty():
+            return False
+        rows.write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")
+        self._append(log, "", name, [f"{table}:{name}"])
+        return True
 
     @staticmethod
     def content_hash(rows: DataFrame) -> str:
@@ -85,7 +155,7 @@ class EvidenceStore:
     def commit(self, table: str, rows: DataFrame) -> bool:
         """Inserts rows whose keys are absent. False: all were stored already. Raises Conflict if a key has other values."""
         keys = KEYS[table]
-        rows = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.spark.createDataFrame([], TABLES[table]).schema.fields])
+        rows = self._typed(table, rows)
         if rows.groupBy(*keys).count().filter("count > 1").limit(1).count():
             raise Conflict(f"{table}: a key twice in one commit")
         old = self.read(table)
@@ -96,9 +166,13 @@ class EvidenceStore:
         if name.startswith("0-"):
             return False
         fresh.write.mode("overwrite").parquet(f"{self.root}/{table}/{name}")
-        self.spark.createDataFrame([(f"{table}:{name}",)], "commit STRING").coalesce(1).write.mode("append").json(f"{self.root}/_log")
+        self._append(self._log(), "", name, [f"{table}:{name}"])
         return True
 
+    def ordered(self, table: str) -> DataFrame:
+        """The table in its canonical order: by its key."""
+        return self.read(table).orderBy(*KEYS[table])
+
     def tables(self) -> list[str]:
         return sorted({c.split(":")[0] for c in self._commits()})
 

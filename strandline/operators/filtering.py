@@ -48,7 +48,7 @@ def terminal_alpha(rows: DataFrame, model: HMM, features: list[str], time: str =
 
 def predictions(filtered: DataFrame, states: int, prefix: str = "state_") -> DataFrame:
     """Shapes filtered rows: state ids, probabilities, dominant state, confidence and entropy, the same for every mode."""
-    ids = F.array(*[F.lit(f"{prefix}{k}") for k in range(states)])
+    ids = F.array(*[F.lit(f"{prefix}{k:03d}") for k in range(states)])
     return filtered.select(
         "model", "time", ids.alias("state_ids"), F.col("p").alias("state_probabilities"), F.get(ids, C.dominant(F.col("p")).cast("int")).alias("dominant_state"),
         C.confidence(F.col("p")).alias("confidence"), C.entropy(F.col("p")).alias("entropy"), (C.confidence(F.col("p")) < C.LOW_CONFIDENCE).alias("low_confidence"),

@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..models import hmm
+from ..models import adapters, hmm
 from .selection import anchored_winner
 
 SEEDS = (11, 23, 37, 53, 71, 89, 107, 131)
 MIN_STARTS, MIN_START_RATE = 6, 0.75
+#: A fold's matrix is broadcast; a larger one is refused.
+MAX_MATRIX_BYTES = 512 << 20
 
 
 @dataclass(frozen=True)
@@ -32,18 +34,20 @@ class Job:
 RESULT = "job string, seed long, ok boolean, reason string, ll double, test_ll double, test_n long, model string"
 
 
-def run(spark: SparkSession, matrix: np.ndarray, jobs: list[Job], seeds: tuple[int, ...] = SEEDS, max_rounds: int | None = None, tolerance: float = hmm.TOLERANCE) -> DataFrame:
+def run(spark: SparkSession, matrix: np.ndarray, jobs: list[Job], seeds: tuple[int, ...] = SEEDS, max_rounds: int | None = None, tolerance: float = hmm.TOLERANCE, factories: dict | None = None) -> DataFrame:
     """A row per job and seed. The matrix (a fold's decision data: times x candidate features) is broadcast once.
 
-    TEST rows follow TRAIN rows and continue its filter. Incomplete rows are dropped on either side. A statistical failure is a row with
+    factories are FACTORIES unless given, by family. TEST rows follow TRAIN rows and continue its filter. Incomplete rows are dropped on either side. A statistical failure is a row with
     its reason; anything unexpected ends the job.
     """
-    shipped = spark.sparkContext.broadcast((matrix, jobs))
+    if matrix.nbytes > MAX_MATRIX_BYTES:
+        raise ValueError(f"a matrix of {matrix.nbytes >> 20} MB; {MAX_MATRIX_BYTES >> 20} are allowed")
+    shipped = spark.sparkContext.broadcast((matrix, jobs, factories or adapters.FACTORIES))
     tasks = spark.range(len(jobs) * len(seeds)).select(F.floor(F.col("id") / len(seeds)).cast("int").alias("j"), F.element_at(F.array(*[F.lit(s) for s in seeds]), (F.col("id") % len(seeds) + 1).cast("int")).alias("seed"))
     tasks = tasks.repartition(min(len(jobs) * len(seeds), 4 * spark.sparkContext.defaultParallelism))
 
     def one(j: int, seed: int) -> dict:
-        data, all_jobs = shipped.value
+        data, all_jobs, made = shipped.value
         job = all_jobs[j]
         out = {"job": job.job, "seed": int(seed), "ok": False, "reason": None, "ll": None, "test_ll": None, "test_n": 0, "model": None}
         train, test = (part[np.isfinite(part).all(axis=1)] for part in (data[: job.train, job.columns], data[job.train : job.train + job.test, job.columns]))
@@ -52,17 +56,18 @@ def run(spark: SparkSession, matrix: np.ndarray, jobs: list[Job], seeds: tuple[i
         mean, scale = train.mean(axis=0), train.std(axis=0)
         if (scale <= 0).any():
             return out | {"reason": "constant_feature"}
+        model = made[job.family]()
         try:
-            model = hmm.fit((train - mean) / scale, job.states, job.family, int(seed), max_rounds, tolerance)
+            model.fit((train - mean) / scale, job.states, int(seed), max_rounds, tolerance)
         except (np.linalg.LinAlgError, FloatingPointError):
             return out | {"reason": "numerical"}
         if not model.converged:
             return out | {"reason": "not_converged"}
-        p, _ = hmm.forward(model.log_emissions((train - mean) / scale), model.start, model.transition)
+        p, _ = model.causal_filter((train - mean) / scale)
         if len(test):
-            _, inc = hmm.forward(model.log_emissions((test - mean) / scale), model.start, model.transition, p[-1])
+            _, inc = model.causal_filter((test - mean) / scale, p[-1])
             out |= {"test_ll": float(inc.sum() - len(test) * np.log(scale).sum()), "test_n": len(test)}
-        kept = model.to_dict() | {"scaler": [mean.tolist(), scale.tolist()], "alpha": p[-1].tolist()}
+        kept = model.extract() | {"scaler": [mean.tolist(), scale.tolist()], "alpha": p[-1].tolist()}
         return out | {"ok": True, "ll": model.log_likelihood, "model": json.dumps(kept)}
 
     def many(batches):

@@ -22,6 +22,11 @@ class RoleProfile:
         return tuple(sorted(self.families, key=lambda f: (-len(f), f)))
 
 
+def raw_universe(names: DataFrame, name: str = "name") -> DataFrame:
+    """names without those of global components, which are made and never read from a source."""
+    return names.filter(~F.col(name).rlike(r"^pca_pc_[0-9]{3}$"))
+
+
 def family_of(name: Column, profile: RoleProfile) -> Column:
     expr = F.when(F.lit(False), F.lit(""))
     for f in profile.ordered:

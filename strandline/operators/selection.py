@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -45,9 +46,48 @@ def subset_scores(evidence: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class FoldScore:
+    """What one inner fold says about a candidate; target None: the fold is invalid."""
+
+    fold_id: str
+    target: float | None
+    calibration: float = 0.0
+    stability: float = 0.0
+    support: float = 0.0
+    baseline: float = 0.0
+
+
+#: TEST rows of full support.
+FULL_SUPPORT = 42
+
+
+def inner_fold_score(fold_id: str, test_ll: float, test_n: int, start_rate: float) -> FoldScore:
+    """Parts of a valid inner fold: log-likelihood a row, its bounded size as calibration, the share of converged starts as stability, and support."""
+    target = test_ll / max(1, test_n)
+    return FoldScore(fold_id, target, (math.tanh(abs(target)) + 1) / 2, start_rate, min(1.0, test_n / FULL_SUPPORT))
+
+
+def score_subset(folds: Sequence[FoldScore]) -> dict:
+    """subset_scores() of one candidate, from its inner folds in order, on the driver: the search's decision data."""
+    valid = [f for f in folds if f.target is not None]
+    rate = len(valid) / len(folds) if folds else 0.0
+    gates = ((not valid, "no_valid_fold"), (rate < MIN_VALID_RATE, "valid_rate"), (len(valid) < MIN_VALID, "too_few_valid_folds"), (not folds or folds[-1].target is None, "latest_fold_invalid"))
+    reasons = ",".join(text for bad, text in gates if bad)
+    out = {"planned": len(folds), "valid_n": len(valid), "rate": rate, "reasons": reasons, "eligible": not reasons, "total": None}
+    if not valid:
+        return out | dict.fromkeys(("forecast", "calibration", "stability", "robustness", "worst"))
+    mean = lambda values: math.fsum(values) / len(valid)
+    scores = [0.5 + 0.5 * math.tanh(f.target - f.baseline) for f in valid]
+    parts = {"forecast": mean(scores), "worst": min(scores), "calibration": mean(f.calibration for f in valid), "stability": mean(f.stability for f in valid)}
+    parts["robustness"] = 0.5 * rate + 0.25 * parts["worst"] + 0.25 * mean(f.support for f in valid)
+    total = 0.5 * parts["forecast"] + 0.2 * parts["calibration"] + 0.2 * parts["stability"] + 0.1 * parts["robustness"]
+    return out | parts | {"total": None if reasons else total}
+
+
 def rank_subsets(scores: DataFrame, size: str | None = None) -> DataFrame:
-    """Eligible candidates by total, forecast, calibration, stability, robustness, worst fold (all descending), size and name."""
-    keys = [F.desc(c) for c in ("total", "forecast", "calibration", "stability", "robustness", "worst")]
+    """Eligible candidates by total, forecast, worst fold, calibration, stability, robustness (all descending), size and name."""
+    keys = [F.desc(c) for c in ("total", "forecast", "worst", "calibration", "stability", "robustness")]
     keys += [F.col(size)] if size else []
     rank = F.row_number().over(W.orderBy(*keys, "candidate")).cast("long")
     return scores.filter("eligible").select(rank.alias("rank"), "candidate", "total")

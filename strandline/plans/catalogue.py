@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import evidence_queries, model_queries, panel_queries, relational_queries, statistics_queries  # noqa: F401
+    from . import evidence_queries, model_queries, panel_queries, relational_queries, statistics_queries, store_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..models.hmm import HMM
-from ..operators import filtering
 from ..sources import features, predictions
 from ..sources.registry import Registry, package
 from . import refit
-from .service import scaled_rows
 
 
 @dataclass(frozen=True)
@@ -21,28 +18,37 @@ class Outcome:
     version: int | None = None
     build: str | None = None
     valid_folds: int = 0
+    results: str = ""
 
 
-def run_cycle(spark: SparkSession, panel: DataFrame, settings: refit.Settings, registry: Registry, name: str, builds: str, last_folds: int | None = None, min_rows: int = refit.MIN_REFIT_ROWS, time: str = "ts") -> Outcome:
+def build_id(results: list[refit.FoldResult]) -> str:
+    return hashlib.sha256(f"walk_forward:{refit.result_hash(results)}".encode()).hexdigest()[:16]
+
+
+def publish_oos(spark: SparkSession, panel: DataFrame, results: list[refit.FoldResult], builds: str, name: str, source: str, time: str = "ts") -> str:
+    """Publishes the union of the valid folds' TEST months, once: the same results have the same build."""
+    build = build_id(results)
+    if not predictions.exists(spark, builds, name, build):
+        predictions.publish(refit.oos_rows(panel, results, name, time), builds, name, build, source_data_sha256=source, result_hash=refit.result_hash(results))
+    return build
+
+
+def deploy(spark: SparkSession, panel: DataFrame, newest: refit.FoldResult, settings: refit.Settings, registry: Registry, name: str, source: str, min_rows: int, time: str = "ts") -> int:
+    """Refits exactly what the newest valid fold selected, its components included, and registers it."""
+    found = refit.final_refit(spark, panel, list(newest.selected), newest.states, newest.family, seeds=settings.seeds, min_rows=min_rows, time=time, fits=newest.fits)
+    facts = {"data_sha256": source, "evaluation": newest.package, "profile_hash": settings.profile_hash}
+    return registry.register(name, package(found["model"], found["features"], found["scaler"], found["trained_through"].isoformat(), found["alpha"], facts, found["pca"]))
+
+
+def run_cycle(spark: SparkSession, panel: DataFrame, settings: refit.Settings, registry: Registry, name: str, builds: str, last_folds: int | None = None, min_rows: int = refit.MIN_REFIT_ROWS, time: str = "ts", store=None, tracking=None) -> Outcome:
     source = features.lineage(panel, name, "current", time).first()["data_sha256"]
     known = registry.versions(name)
     if known and registry.load(name, known[-1])["lineage"].get("data_sha256") == source:
         return Outcome(False, known[-1])
-    valid = [r for r in refit.run_monthly(spark, panel, settings, last=last_folds, time=time) if r.valid]
+    results = refit.run_monthly(spark, panel, settings, last=last_folds, time=time, source=source, store=store, tracking=tracking)
+    valid = [r for r in results if r.valid]
     if not valid:
-        return Outcome(True)
-    newest = valid[-1]
-    direct = [f for f in newest.selected if not f.startswith("family_pc_")] or list(settings.core)
-    found = refit.final_refit(spark, panel, direct, newest.states, newest.family, seeds=settings.seeds, min_rows=min_rows, time=time)
-    pack = package(found["model"], direct, found["scaler"], found["trained_through"].isoformat(), found["alpha"], {"data_sha256": source, "evaluation": newest.package})
-    build = pack["package_hash"][:16]
-    model: HMM = found["model"]
-    rows = filtering.predictions(filtering.forward_filter(scaled_rows(panel, pack, time), {name: model}, direct, time), model.states)
-    text = lambda v: F.lit(v)
-    rows = rows.select(
-        text(name).alias("profile_id"), text("1").alias("schema_version"), text("oos").alias("prediction_mode"), F.col("time").cast("timestamp").alias("timestamp"), "state_ids", "state_probabilities", "dominant_state",
-        "confidence", "entropy", text(f"{newest.family}_k{newest.states}").alias("candidate_id"), text(newest.fold_id).alias("fold_id"), text(newest.package).alias("evaluation_plan_hash"),
-        text("").alias("feature_selection_definition_hash"), text("").alias("feature_selection_execution_hash"),
-    )
-    predictions.publish(rows, builds, name, build, source_data_sha256=source)
-    return Outcome(True, registry.register(name, pack), build, len(valid))
+        return Outcome(True, results=refit.result_hash(results))
+    build = publish_oos(spark, panel, results, builds, name, source, time)
+    version = deploy(spark, panel, valid[-1], settings, registry, name, source, min_rows, time)
+    return Outcome(True, version, build, len(valid), refit.result_hash(results))

@@ -50,7 +50,7 @@ def q_subset_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"WITH {_SCORES} SELECT row_number() OVER (ORDER BY round(total, 8) DESC, round(forecast, 8) DESC, round(calibration, 8) DESC, round(stability, 8) DESC, round(robustness, 8) DESC, round(worst, 8) DESC, candidate) AS rank, "
+    f"WITH {_SCORES} SELECT row_number() OVER (ORDER BY round(total, 8) DESC, round(forecast, 8) DESC, round(worst, 8) DESC, round(calibration, 8) DESC, round(stability, 8) DESC, round(robustness, 8) DESC, candidate) AS rank, "
     "candidate, round(total, 8) AS total FROM scores WHERE eligible"
 )
 def q_rank_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:

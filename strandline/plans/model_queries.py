@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..models import alignment
 from ..models.hmm import FAMILIES, GAUSSIAN, HMM
-from ..operators import filtering, multistart, pca, quality, selection
+from ..operators import calendar, filtering, multistart, pca, quality, selection
 from ..sources import panels
 from ..sources import predictions as builds
 from . import refit
 from .catalogue import query
 from .oracle_panels import EMBEDDING_MATRIX, LINEITEM_DAILY, PROB_PAIRS
+from .panel_queries import LINE_FOLDS
 
 FEATURES = ["price", "quantity"]
 START = [0.6, 0.4]
@@ -125,36 +126,40 @@ def q_pca_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", *[F.round(f"pc_{k}", 7).alias(f"pc_{k}") for k in (1, 2, 3)])
 
 
-_SIGNATURE = [[m[0], m[1], 0.5 * math.log(c[0][0]), 0.5 * math.log(c[1][1]), c[0][1] / math.sqrt(c[0][0] * c[1][1])] for m, c in zip(MEANS, COVARIANCES, strict=True)]
+#: States of known membership: the days of each quarter of the year, with the moments of scaled price and quantity.
+_MOMENTS = f"""{_Z.replace("e AS (SELECT ts, row_number()", "unused AS (SELECT ts, row_number()")},
+s AS (SELECT quarter(ts) - 1 AS state, avg(z1) AS m1, avg(z2) AS m2, ln(stddev_pop(z1)) AS l1, ln(stddev_pop(z2)) AS l2, corr(z1, z2) AS r FROM z GROUP BY 1)"""
 
 
-@query(
-    "SELECT * FROM (VALUES "
-    + ", ".join(
-        f"({k}::BIGINT, round({m[0]}, 9)::DOUBLE, round({m[1]}, 9)::DOUBLE, round(ln(sqrt({c[0][0]})), 9)::DOUBLE, round(ln(sqrt({c[1][1]})), 9)::DOUBLE, round({c[0][1]} / sqrt({c[0][0]} * {c[1][1]}), 9)::DOUBLE)"
-        for k, (m, c) in enumerate(zip(MEANS, COVARIANCES, strict=True))
-    )
-    + ") t(state, mean_1, mean_2, log_sd_1, log_sd_2, corr_12)"
-)
+def _quarters(spark: SparkSession, sf_dir: str) -> HMM:
+    """A model whose states are the quarters' moments."""
+    z = scaled_days(spark, sf_dir)
+    x, y = (F.col(f) for f in FEATURES)
+    rows = z.groupBy((F.quarter("ts") - 1).alias("state")).agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy")).orderBy("state").collect()
+    means = np.array([[r["mx"], r["my"]] for r in rows])
+    return HMM(GAUSSIAN, np.full(len(rows), 1 / len(rows)), np.full((len(rows), len(rows)), 1 / len(rows)), means, np.array([[[r["xx"], r["xy"]], [r["xy"], r["yy"]]] for r in rows]), log_likelihood=0.0)
+
+
+@query(f"WITH {_MOMENTS} SELECT state::BIGINT AS state, round(m1, 7) AS mean_1, round(m2, 7) AS mean_2, round(l1, 7) AS log_sd_1, round(l2, 7) AS log_sd_2, round(r, 7) AS corr_12 FROM s")
 def q_state_signature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(k, *(round(float(v), 9) for v in s)) for k, s in enumerate(alignment.signatures(FIXED))]
+    rows = [(k, *(round(float(v), 7) for v in s)) for k, s in enumerate(alignment.signatures(_quarters(spark, sf_dir)))]
     return spark.createDataFrame(rows, "state long, mean_1 double, mean_2 double, log_sd_1 double, log_sd_2 double, corr_12 double")
 
 
-@query(
-    "WITH s(i, v) AS (VALUES " + ", ".join(f"({k}::BIGINT, [{', '.join(f'{v!r}::DOUBLE' for v in s)}])" for k, s in enumerate(_SIGNATURE)) + ") "
-    "SELECT a.i, b.i AS j, round(sqrt(list_sum(list_transform(range(1, 6), lambda k: (a.v[k] - b.v[k]) ** 2)) / 5), 9) AS rms FROM s a, s b"
-)
+_RMS = "sqrt(((a.m1 - b.m1) ** 2 + (a.m2 - b.m2) ** 2 + (a.l1 - b.l1) ** 2 + (a.l2 - b.l2) ** 2 + (a.r - b.r) ** 2) / 5)"
+
+
+@query(f"WITH {_MOMENTS} SELECT a.state::BIGINT AS i, b.state::BIGINT AS j, round({_RMS}, 7) AS rms FROM s a, s b")
 def q_rms_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, list(map(float, s))) for k, s in enumerate(alignment.signatures(FIXED))], "i long, v array<double>")
+    rows = spark.createDataFrame([(k, list(map(float, s))) for k, s in enumerate(alignment.signatures(_quarters(spark, sf_dir)))], "i long, v array<double>")
     other = rows.select(F.col("i").alias("j"), F.col("v").alias("w"))
-    return rows.crossJoin(F.broadcast(other)).select("i", "j", F.round(C.rms_distance(F.col("v"), F.col("w")), 9).alias("rms"))
+    return rows.crossJoin(F.broadcast(other)).select("i", "j", F.round(C.rms_distance(F.col("v"), F.col("w")), 7).alias("rms"))  # four states
 
 
 def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """prob_pairs in the shape of an OOS build."""
     p = F.col("p")
-    ids = F.array(*[F.lit(f"state_{k}") for k in range(3)])
+    ids = F.array(*[F.lit(f"state_{k:03d}") for k in range(3)])
     text = lambda c, v: F.lit(v).alias(c)
     return panels.prob_pairs(spark, sf_dir).select(
         text("profile_id", "daily"), text("schema_version", "1"), text("prediction_mode", "oos"), F.col("ts").cast("timestamp").alias("timestamp"), ids.alias("state_ids"),
@@ -163,7 +168,7 @@ def _build(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"WITH {PROB_PAIRS} SELECT ts, 'state_' || (list_position(p, list_max(p)) - 1)::VARCHAR AS dominant_state, round(list_max(p), 9) AS confidence FROM prob_pairs WHERE ts BETWEEN DATE '{REPLAY[0]}' AND DATE '{REPLAY[1]}'")
+@query(f"WITH {PROB_PAIRS} SELECT ts, 'state_' || lpad((list_position(p, list_max(p)) - 1)::VARCHAR, 3, '0') AS dominant_state, round(list_max(p), 9) AS confidence FROM prob_pairs WHERE ts BETWEEN DATE '{REPLAY[0]}' AND DATE '{REPLAY[1]}'")
 def q_oos_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = builds.oos_slice(_build(spark, sf_dir), *[dt.datetime(d.year, d.month, d.day) for d in REPLAY])
     return rows.select(F.col("timestamp").cast("date").alias("ts"), "dominant_state", F.round("confidence", 9).alias("confidence"))
@@ -180,6 +185,36 @@ def q_publish_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.count("*").alias("rows")).withColumn("declared", F.lit(manifest["row_count"]).cast("long"))
 
 
+@query(
+    _recursive(
+        f"SELECT d.fold_id, f.ts, round(f.p0, 8) AS p0, round(f.p1, 8) AS p1 FROM f JOIN folds d ON f.ts BETWEEN d.test_first AND d.test_last"
+    ).replace("WITH RECURSIVE ", f"WITH RECURSIVE {LINE_FOLDS}, ").replace(f"{LINEITEM_DAILY}, c AS", "c AS")
+)
+def q_oos_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fold's TEST month by the fold's model, whose filter continues from its TRAIN: the rows of an out-of-sample build."""
+    rows = scaled_days(spark, sf_dir)
+    plan = calendar.plan_folds(panels.lineitem_daily(spark, sf_dir).select("ts"))
+    folds = [r.asDict() for r in plan.orderBy("fold_id").collect()]
+    out = filtering.forward_filter(rows, {"fixed": FIXED}, FEATURES)
+    ends = out.join(F.broadcast(plan.select("fold_id", "train_cutoff")), F.col("time") <= F.col("train_cutoff")).groupBy("fold_id").agg(F.max_by("p", "time").alias("p"))
+    alphas = {r["fold_id"]: list(r["p"]) for r in ends.collect()}
+    test = calendar.fold_rows(rows, plan).filter("part = 'test'")
+    found = filtering.forward_filter(test, {f["fold_id"]: FIXED for f in folds}, FEATURES, key="fold_id", alphas=alphas)
+    return found.select(F.col("model").alias("fold_id"), F.col("time").alias("ts"), *_two(found))
+
+
+@query(f"WITH {PROB_PAIRS} SELECT count(*) AS rows, count(*) AS declared, sum((list_position(p, list_max(p)) - 1))::BIGINT AS dominant FROM prob_pairs")
+def q_build_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A build written, read back and verified by checksum and row count."""
+    import uuid
+
+    root, build = (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/") + "/builds", uuid.uuid4().hex
+    builds.publish(_build(spark, sf_dir), root, "daily", build)
+    manifest, rows = builds.read(spark, root, "daily", build)
+    out = rows.agg(F.count("*").alias("rows"), F.sum(F.substring("dominant_state", 7, 3).cast("long")).alias("dominant"))
+    return out.select("rows", F.lit(manifest["row_count"]).cast("long").alias("declared"), "dominant")
+
+
 FIT_COLUMNS = ["price", "discount", "quantity"]
 FIT_SEEDS = multistart.SEEDS
 
@@ -253,17 +288,55 @@ def q_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(selection.ablation(FIT_COLUMNS, _evaluate(spark, _days(spark, sf_dir), 2)), "feature string, loss double")
 
 
-@query()
+#: All orders of four states, the distance of each to the states of the days up to CUTOFF, and the nearest.
+_ALIGNED = f"""{_Z.replace("e AS (SELECT ts, row_number()", "unused AS (SELECT ts, row_number()")},
+h AS (SELECT ts <= DATE '{CUTOFF}' AS early, quarter(ts) - 1 AS state, avg(z1) AS m1, avg(z2) AS m2, ln(stddev_pop(z1)) AS l1, ln(stddev_pop(z2)) AS l2, corr(z1, z2) AS r FROM z GROUP BY 1, 2),
+d AS (SELECT a.state AS source, b.state AS state, {_RMS} AS d FROM h a, h b WHERE NOT a.early AND b.early),
+p AS (SELECT w.source AS a, x.source AS b, y.source AS c, z4.source AS e, w.d + x.d + y.d + z4.d AS total FROM d w, d x, d y, d z4 WHERE w.state = 0 AND x.state = 1 AND y.state = 2 AND z4.state = 3
+  AND len(list_distinct([w.source, x.source, y.source, z4.source])) = 4),
+best AS (SELECT * FROM p ORDER BY total LIMIT 1)"""
+
+
+@query(f"WITH {_ALIGNED} SELECT unnest([0, 1, 2, 3])::BIGINT AS state, unnest([a, b, c, e])::BIGINT AS source FROM best")
 def q_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    moved = FIXED.permuted([1, 0])
-    order = alignment.to_reference(moved, alignment.signatures(FIXED))
+    """The quarters of the days after CUTOFF, aligned to those of the days before."""
+    z = scaled_days(spark, sf_dir)
+    x, y = (F.col(f) for f in FEATURES)
+    rows = z.groupBy((F.col("ts") <= F.lit(CUTOFF)).alias("early"), (F.quarter("ts") - 1).alias("state"))
+    rows = rows.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_pop(x).alias("xx"), F.var_pop(y).alias("yy"), F.covar_pop(x, y).alias("xy")).orderBy("state").collect()
+    early, late = (HMM(GAUSSIAN, np.full(4, 0.25), np.full((4, 4), 0.25), np.array([[r["mx"], r["my"]] for r in half]), np.array([[[r["xx"], r["xy"]], [r["xy"], r["yy"]]] for r in half])) for half in ([r for r in rows if r["early"] == e] for e in (True, False)))
+    order = alignment.to_reference(late, alignment.signatures(early))
     return spark.createDataFrame([(k, int(o)) for k, o in enumerate(order)], "state long, source long")
 
 
+_TWO = {"size": ["price", "quantity"], "rate": ["discount", "tax"]}
+
+
+def _two_sql() -> str:
+    """Of two standardised features the components are (1, 1) and (1, -1) over the root of two, the first by the sign of their correlation."""
+    parts = [
+        f"SELECT '{n}' AS family, '{a}' AS f1, '{b}' AS f2, corr({a}, {b}) AS r FROM lineitem_daily WHERE {a} IS NOT NULL AND {b} IS NOT NULL" for n, (a, b) in _TWO.items()
+    ]
+    return f"{LINEITEM_DAILY}, c AS ({' UNION ALL '.join(parts)}), k AS (SELECT *, unnest([1, 2]) AS k FROM c), l AS (SELECT *, unnest([f1, f2]) AS f FROM k)"
+
+
+@query(
+    f"WITH {_two_sql()} SELECT family, k::BIGINT AS pc_ordinal, f AS source_feature, round(CASE WHEN f = f1 OR (k = 1) = (r > 0) THEN 1 ELSE -1 END * sqrt(0.5), 7) AS loading, "
+    "round((1 + CASE WHEN k = 1 THEN abs(r) ELSE -abs(r) END) / 2, 7) AS explained_variance FROM l"
+)
+def q_pca_of_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted projections of families of two, which have a closed form."""
+    found = pca.fit_families(panels.lineitem_daily(spark, sf_dir), _TWO, strict=True)
+    rows = [(n, k, f, round(w, 7), round(e, 7)) for n, p in found.items() for k, f, w, _, e in p.loadings()]
+    # Which of two loadings of equal size is first for the sign: by name, as the operator has it.
+    return spark.createDataFrame(rows, "family string, pc_ordinal long, source_feature string, loading double, explained_variance double")
+
+
 @query()
 def q_family_pca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panels.embedding_matrix(spark, sf_dir)
-    rows = [(f"block_{b + 1}", *r) for b in range(8) for r in pca.fit(panel, [f"x{8 * b + i + 1:02d}" for i in range(8)]).loadings()]
+    families = {f"block_{b + 1}": [f"x{8 * b + i + 1:02d}" for i in range(8)] for b in range(8)}
+    rows = [(name, *r) for name, fit in pca.fit_families(panel, families, strict=True).items() for r in fit.loadings()]
     return spark.createDataFrame(rows, "family string, pc_ordinal long, source_feature string, loading double, squared_loading double, explained_variance double")
 
 

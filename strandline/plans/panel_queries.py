@@ -144,11 +144,11 @@ def q_fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCALED = ["price", "discount", "quantity"]
-_LINE_FOLDS = _FOLDS.replace(ORDERS_DAILY, LINEITEM_DAILY).replace("orders_daily", "lineitem_daily")
+LINE_FOLDS = _FOLDS.replace(ORDERS_DAILY, LINEITEM_DAILY).replace("orders_daily", "lineitem_daily")
 
 
 @query(
-    f"WITH {_LINE_FOLDS}, x AS (SELECT fold_id, {', '.join(SCALED)} FROM lineitem_daily JOIN folds ON ts BETWEEN train_first AND train_cutoff), s AS ("
+    f"WITH {LINE_FOLDS}, x AS (SELECT fold_id, {', '.join(SCALED)} FROM lineitem_daily JOIN folds ON ts BETWEEN train_first AND train_cutoff), s AS ("
     + " UNION ALL ".join(f"SELECT fold_id, '{c}' AS feature, count({c}) AS n, avg({c}) AS mean, var_pop({c}) AS variance FROM x GROUP BY 1" for c in SCALED)
     + ") SELECT fold_id, feature, n, round(mean, 6) AS mean, round(variance, 4) AS variance, round(CASE WHEN variance > 0 THEN sqrt(variance) ELSE 1.0 END, 6) AS scale FROM s"
 )
@@ -187,19 +187,28 @@ def q_candidate_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return candidate_grid(spark)
 
 
-_PACKAGES = "packages AS (SELECT strftime(o_orderdate, '%Y-%m') AS available_for_test_month, count(*) AS orders FROM orders WHERE month(o_orderdate) % 3 = 0 GROUP BY 1)"
+_PACKAGES = "packages AS (SELECT strftime(o_orderdate, '%Y-%m') AS available_for_test_month, count(*) AS orders FROM orders GROUP BY 1)"
 
 
 @query(f"WITH {_PACKAGES} SELECT * FROM packages WHERE available_for_test_month <= '1998-05' ORDER BY available_for_test_month DESC LIMIT 1")
 def q_package_for_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = panels.table(spark, sf_dir, "orders").filter(F.month("o_orderdate") % 3 == 0)
+    orders = panels.table(spark, sf_dir, "orders")
     packages = orders.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("available_for_test_month")).agg(F.count("*").alias("orders"))
     return calendar.package_for_month(packages, "1998-05")
 
 
-@query()
+@query(
+    f"""{with_panels(ORDERS_DAILY)} SELECT 'orders' AS source_dataset, 'build-1' AS source_build_id, count(*) AS row_count, min(ts) AS min_timestamp, max(ts) AS max_timestamp,
+  sha256((SELECT string_agg(sha256(ts::VARCHAR || '|' || round(total * 100)::BIGINT::VARCHAR || '|' || n_orders::BIGINT::VARCHAR), '' ORDER BY ts) FROM orders_daily)) AS content FROM orders_daily"""
+)
 def q_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.lineage(panels.orders_daily(spark, sf_dir), "orders", "build-1")
+    """The lineage row; its own hash is of the rows' binary values, so a hash over their text, which SQL has too, stands beside the bounds."""
+    panel = panels.orders_daily(spark, sf_dir)
+    row = features.lineage(panel, "orders", "build-1").select("source_dataset", "source_build_id", "row_count", "min_timestamp", "max_timestamp")
+    text = F.concat_ws("|", F.col("ts").cast("string"), F.round(F.col("total") * 100).cast("long").cast("string"), F.col("n_orders").cast("long").cast("string"))
+    each = panel.select("ts", F.sha2(text.cast("binary"), 256).alias("h"))
+    days = each.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ts", "h"))), lambda r: r["h"]), "").alias("all"))  # a row per day
+    return row.crossJoin(F.broadcast(days.select(F.sha2(F.col("all").cast("binary"), 256).alias("content"))))
 
 
 @query(

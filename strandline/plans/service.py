@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import threading
 import time as clock
+import uuid
 from collections import OrderedDict
 from contextlib import contextmanager
 
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.columns import FRESHNESS
 from ..models.hmm import HMM
 from ..operators import filtering
+from ..operators.pca import PCA
 from ..sources import predictions
 from ..sources.registry import Registry
+from .refit import model_rows
 
 
 class Busy(RuntimeError):
@@ -26,9 +29,14 @@ class Stale(RuntimeError):
     """The default model's data are too old to answer."""
 
 
+class DeadlineExceeded(TimeoutError):
+    """The replay took longer than it may; its jobs are cancelled."""
+
+
 def scaled_rows(panel: DataFrame, pack: dict, time: str = "ts") -> DataFrame:
-    z = [((F.col(f) - m) / s).alias(f) for f, (m, s) in pack["scaler"].items()]
-    return panel.select(time, *z)
+    """The model's features, two stages: components of the package's projections, then its scaler."""
+    rows = model_rows(panel, pack["features"], {n: PCA.from_dict(p) for n, p in pack.get("pca", {}).items()}, time)
+    return rows.select(time, *[((F.col(f) - m) / s).alias(f) for f, (m, s) in pack["scaler"].items()])
 
 
 class Engine:
@@ -36,8 +44,9 @@ class Engine:
 
     VERSIONS = 2
 
-    def __init__(self, registry: Registry, panel: DataFrame, time: str = "ts", ttl_s: float = 30, limits: filtering.ReplayLimits = filtering.ReplayLimits()) -> None:
-        self.registry, self.panel, self.time, self.ttl_s, self.limits = registry, panel, time, ttl_s, limits
+    def __init__(self, registry: Registry, panel: DataFrame, time: str = "ts", ttl_s: float = 30, limits: filtering.ReplayLimits = filtering.ReplayLimits(), deadline_s: float = 60) -> None:
+        self.registry, self.panel, self.time, self.ttl_s, self.limits, self.deadline_s = registry, panel, time, ttl_s, limits, deadline_s
+        self._held: dict = {}  # (name, version) -> requests that use it: such a package isn't evicted
         self._aliases: dict = {}
         self._packs: OrderedDict = OrderedDict()
         self._admission = threading.Semaphore(1)
@@ -51,11 +60,21 @@ class Engine:
             raise KeyError(f"{name}@{alias}")
         if (name, version) not in self._packs:
             self._packs[name, version] = self.registry.load(name, version)
-            while len(self._packs) > self.VERSIONS:
-                self._packs.popitem(last=False)
+            for old in [k for k in self._packs if not self._held.get(k) and k != (name, version)][: max(0, len(self._packs) - self.VERSIONS)]:
+                del self._packs[old]
         self._packs.move_to_end((name, version))
         return self._packs[name, version] | {"version": version}
 
+    @contextmanager
+    def _leased(self, name: str, alias: str):
+        pack = self._pack(name, alias)
+        key = name, pack["version"]
+        self._held[key] = self._held.get(key, 0) + 1
+        try:
+            yield pack
+        finally:
+            self._held[key] -= 1
+
     def latest(self, name: str, as_of: object, alias: str = "champion", refuse_stale: bool = False) -> dict:
         pack = self._pack(name, alias)
         through = type(as_of).fromisoformat(pack["trained_through"])
@@ -80,12 +99,29 @@ class Engine:
             self._admission.release()
 
     def replay(self, name: str, start: object, end: object, alias: str = "champion") -> DataFrame:
-        pack = self._pack(name, alias)
-        model = HMM.from_dict(pack["model"])
-        rows = scaled_rows(self.panel, pack, self.time)
-        with self._admitted():
-            filtering.check_replay(rows, start, end, model.states, self.limits, self.time)
-            return filtering.predictions(filtering.replay(rows, model, pack["features"], start, end, self.time), model.states)
+        """One replay at a time, admitted until its rows (bounded by the limits) are here; after deadline_s its jobs are cancelled."""
+        spark = self.panel.sparkSession
+        with self._admitted(), self._leased(name, alias) as pack:
+            model = HMM.from_dict(pack["model"])
+            rows = scaled_rows(self.panel, pack, self.time)
+            group, late = f"replay-{uuid.uuid4().hex}", threading.Event()
+            spark.addTag(group)
+            timer = threading.Timer(self.deadline_s, lambda: (late.set(), spark.interruptTag(group)))
+            timer.start()
+            try:
+                filtering.check_replay(rows, start, end, model.states, self.limits, self.time)
+                found = filtering.predictions(filtering.replay(rows, model, pack["features"], start, end, self.time), model.states)
+                kept = found.collect()
+            except Exception as e:
+                if late.is_set():
+                    raise DeadlineExceeded(f"more than {self.deadline_s} s") from e
+                raise
+            finally:
+                timer.cancel()
+                spark.removeTag(group)
+            if late.is_set():
+                raise DeadlineExceeded(f"more than {self.deadline_s} s")
+            return spark.createDataFrame(kept, found.schema)
 
     def oos_slice(self, root: str, profile: str, build: str, start: object, end: object) -> tuple[dict, DataFrame]:
         manifest, rows = predictions.read(self.panel.sparkSession, root, profile, build)

@@ -235,7 +235,8 @@ def q_aic_bic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{with_panels(ORDERS_DAILY)}, z AS (SELECT count(total) AS n FROM orders_daily WHERE total > 0) SELECT CASE WHEN n >= 3 THEN 'enough' ELSE 'too_few' END AS gate FROM (SELECT 2 AS n)"
+    f"{with_panels(ORDERS_DAILY)}, z AS ({' UNION ALL '.join(f'SELECT count({c}) / count(*)::DOUBLE AS coverage, var_pop({c}) AS variance FROM orders_daily' for c in [*panels.PRIORITIES, 'total', 'n_orders'])}) "
+    "SELECT CASE WHEN count(*) FILTER (WHERE coverage >= 0.9 AND variance > 1e-12) >= 3 THEN 'enough' ELSE 'too_few' END AS gate FROM z"
 )
 def q_minimum_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = panels.orders_daily(spark, sf_dir)

@@ -98,6 +98,33 @@ class PanelSource:
         return counts.withColumn("skipped", F.col("total") - F.col("retained"))
 
 
+class SnapshotSource(PanelSource):
+    """A source whose reads all see one state: the panel is written to folder once, under its content hash, and every read is of that table.
+
+    A second reader of the same content finds the table; a panel that has changed since is another snapshot.
+    """
+
+    def __init__(self, panel: DataFrame, folder: str, time: str = "ts") -> None:
+        self.lineage = lineage(panel, folder, "snapshot", time).first().asDict()
+        path = f"{folder.rstrip('/')}/{self.lineage['data_sha256']}"
+        try:
+            panel.write.mode("errorifexists").parquet(path)
+        except Exception as e:
+            if "PATH_ALREADY_EXISTS" not in str(e):
+                raise
+        pinned = panel.sparkSession.read.schema(panel.schema).parquet(path)
+        if lineage(pinned, folder, "snapshot", time).first().asDict() != self.lineage:
+            raise ContractError("the source changed while its snapshot was written")
+        super().__init__(pinned, time)
+
+    def read_with_catalog(self, request: Request) -> tuple[DataFrame, DataFrame]:
+        """(catalog, rows) of the same snapshot."""
+        return catalog(self.panel, self.time), self.read(request)
+
+    def read_all_with_catalog(self, start: object = None, end: object = None) -> tuple[DataFrame, DataFrame]:
+        return self.read_with_catalog(Request((), start, end))
+
+
 def jdbc(spark: SparkSession, url: str, relation: str, time: str, lower: str, upper: str, partitions: int, timeout_s: int = 60, **options: str) -> DataFrame:
     """A panel over JDBC, read in ranges of the time column."""
     fixed = {"partitionColumn": time, "lowerBound": lower, "upperBound": upper, "numPartitions": str(partitions), "queryTimeout": str(timeout_s)}

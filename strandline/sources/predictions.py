@@ -36,6 +36,12 @@ def publish(rows: DataFrame, root: str, profile: str, build: str, **facts: str)
     return manifest
 
 
+def exists(spark: SparkSession, root: str, profile: str, build: str) -> bool:
+    """Whether the build was published, its manifest included."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{profile}/{build}/manifest/_SUCCESS")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def read(spark: SparkSession, root: str, profile: str, build: str) -> tuple[dict, DataFrame]:
     path = f"{root}/{profile}/{build}"
     manifest = json.loads("".join(r[0] for r in spark.read.text(f"{path}/manifest").collect()))

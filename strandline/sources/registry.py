@@ -11,7 +11,9 @@ from pathlib import Path
 
 from ..models.hmm import HMM
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
+#: A write under the registry's lock takes milliseconds; a cycle, hours.
+STALE_LOCK_S, STALE_CYCLE_S = 60.0, 24 * 3600.0
 
 
 class AliasChanged(RuntimeError):
@@ -35,12 +37,38 @@ def _unhex(value):
     return [_unhex(v) for v in value] if isinstance(value, list) else value
 
 
-def package(model: HMM, features: list[str], scaler: dict[str, tuple[float, float]], trained_through: str, alpha: list[float], lineage: dict) -> dict:
-    body = {"schema": SCHEMA_VERSION, "model": model.to_dict(), "features": features, "scaler": {k: list(map(float, v)) for k, v in scaler.items()}, "trained_through": trained_through, "alpha": list(map(float, alpha)), "lineage": lineage}
+def package(model: HMM, features: list[str], scaler: dict[str, tuple[float, float]], trained_through: str, alpha: list[float], lineage: dict, pca: dict | None = None) -> dict:
+    """pca: the projections behind features that are components, by family."""
+    body = {"schema": SCHEMA_VERSION, "pca": pca or {}, "model": model.to_dict(), "features": features, "scaler": {k: list(map(float, v)) for k, v in scaler.items()}, "trained_through": trained_through, "alpha": list(map(float, alpha)), "lineage": lineage}
     text = json.dumps(_hex(body), sort_keys=True, separators=(",", ":"))
     return body | {"package_hash": hashlib.sha256(text.encode()).hexdigest()}
 
 
+@contextmanager
+def locked(lock: Path, wait_s: float = 0.0, stale_s: float = STALE_CYCLE_S):
+    """A file that one process holds. One that a crash left is taken over once it is stale_s old, since its holder renews nothing for so long."""
+    until = time.monotonic() + wait_s
+    while True:
+        try:
+            handle = os.open(lock, os.O_CREAT | os.O_EXCL)
+            break
+        except FileExistsError:
+            try:
+                if time.time() - lock.stat().st_mtime > stale_s:
+                    os.replace(lock, lock.with_suffix(f".stale-{os.getpid()}"))  # of two that see it, one moves it
+                    continue
+            except FileNotFoundError:
+                continue
+            if time.monotonic() >= until:
+                raise TimeoutError(f"{lock.name} is held by another process") from None
+            time.sleep(0.02)
+    try:
+        yield
+    finally:
+        os.close(handle)
+        lock.unlink(missing_ok=True)
+
+
 class Registry:
     """models/<name>/<version>.json, aliases.json and an append-only audit below one folder."""
 
@@ -50,20 +78,8 @@ class Registry:
 
     @contextmanager
     def _locked(self, wait_s: float = 10):
-        lock, until = self.root / ".lock", time.monotonic() + wait_s
-        while True:
-            try:
-                handle = os.open(lock, os.O_CREAT | os.O_EXCL)
-                break
-            except FileExistsError:
-                if time.monotonic() > until:
-                    raise TimeoutError("the registry is locked") from None
-                time.sleep(0.02)
-        try:
+        with locked(self.root / ".lock", wait_s, STALE_LOCK_S):
             yield
-        finally:
-            os.close(handle)
-            lock.unlink()
 
     def _put(self, path: Path, data) -> None:
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -110,6 +126,14 @@ class Registry:
             with (self.root / "audit.jsonl").open("a") as f:
                 f.write(json.dumps({"name": name, "alias": alias, "from": expected, "to": version, "actor": actor, "at": time.time()}) + "\n")
 
+    def rollback(self, name: str, alias: str, actor: str) -> int:
+        """Moves the alias back to where it was before its last move."""
+        moves = [a for a in self.audit() if (a["name"], a["alias"]) == (name, alias)]
+        if not moves or moves[-1]["from"] is None:
+            raise KeyError(f"{name}@{alias} has no earlier version")
+        self.move_alias(name, alias, moves[-1]["to"], moves[-1]["from"], actor)
+        return moves[-1]["from"]
+
     def audit(self) -> list[dict]:
         path = self.root / "audit.jsonl"
         return [json.loads(x) for x in path.read_text().splitlines()] if path.exists() else []

@@ -12,6 +12,7 @@ TABLES = {
     "runs": "run_id STRING, experiment STRING, name STRING, started TIMESTAMP, status STRING",
     "params": "run_id STRING, key STRING, value STRING",
     "metrics": "run_id STRING, key STRING, step BIGINT, value DOUBLE",
+    "artifacts": "run_id STRING, name STRING, body STRING",
 }
 
 
@@ -23,11 +24,12 @@ class Tracking:
         if rows:
             self.spark.createDataFrame(rows, TABLES[table]).coalesce(1).write.mode("append").parquet(f"{self.root}/{table}")
 
-    def log(self, experiment: str, name: str, params: dict, metrics: dict[str, list[float] | float], status: str = "FINISHED") -> str:
-        """Writes a run whole; a run is in the table only after its parameters and metrics are."""
+    def log(self, experiment: str, name: str, params: dict, metrics: dict[str, list[float] | float], documents: dict[str, object] | None = None, status: str = "FINISHED") -> str:
+        """Writes a run whole; a run is in the table only after its parameters, metrics and documents (canonical JSON) are."""
         run = uuid.uuid4().hex
         self._append("params", [(run, k, str(v)) for k, v in sorted(params.items())])
         self._append("metrics", [(run, k, i, float(v)) for k, vs in sorted(metrics.items()) for i, v in enumerate(vs if isinstance(vs, list) else [vs])])
+        self._append("artifacts", [(run, k, canonical_json(v)) for k, v in sorted((documents or {}).items())])
         self._append("runs", [(run, experiment, name, dt.datetime.now(dt.timezone.utc).replace(tzinfo=None), status)])
         return run
 

@@ -1,12 +1,13 @@
 """Boundaries, leakage and idempotence of the operators."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.operators import calendar, correlation, evidence, quality, roles, selection
+from strandline.operators import blocks, calendar, correlation, evidence, pca, quality, roles, selection
 from strandline.sources import features, predictions
 from strandline.sources.registry import AliasChanged, Registry, package
 
@@ -194,3 +195,96 @@ def test_anchored_ties_do_not_chain(spark):
     assert got == ["y", "x", "z"]  # z is within 0.06 of y, but not of the best
     starts = spark.createDataFrame([(53, 1.0), (11, 1.0 - 5e-13), (3, 0.9)], "seed long, ll double")
     assert selection.anchored_winner(starts).first()["seed"] == 11
+
+
+def plain_corr(x, y):
+    both = np.isfinite(x) & np.isfinite(y)
+    x, y = x[both], y[both]
+    if len(x) < 2 or np.ptp(x) == 0 or np.ptp(y) == 0:
+        return None, len(x)
+    return abs(float(np.corrcoef(x, y)[0, 1])), len(x)
+
+
+@pytest.mark.parametrize(("tile", "small"), [(3, 0), (512, 0), (4, 1 << 20)])
+def test_correlations_by_tiles_equal_plain_ones(spark, monkeypatch, tile, small):
+    monkeypatch.setattr(correlation, "TILE", tile)
+    monkeypatch.setattr(blocks, "SMALL_BYTES", small)
+    monkeypatch.setattr(blocks, "CHUNK_BYTES", 8 * 9 * 20)  # blocks of 20 rows
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(91, 9)) * [1, 1, 1e-3, 1e6, 1, 1, 1, 1, 1] + [0, 5, 1e4, 0, 0, 0, 0, 0, 0]
+    x[:, 4] = 7.25  # constant
+    x[rng.random((91, 9)) < 0.15] = np.nan
+    x[:, 0] = rng.normal(size=91)  # complete
+    x[:, 1] = x[:, 0] * 2 + 1e-4 * rng.normal(size=91)
+    x[:, 8] = np.nan
+    x[5, 8] = 1.0
+    names = [f"f{k}" for k in range(9)]
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "ts long, " + ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r["left"], r["right"]): r for r in correlation.pair_correlations(df, {"f": names}).collect()}
+    for i in range(9):
+        for j in range(i + 1, 9):
+            corr, n = plain_corr(x[:, i], x[:, j])
+            assert ((names[i], names[j]) in got) == (n > 0)
+            if n:
+                r = got[names[i], names[j]]
+                assert r["support"] == n and (r["abs_corr"] is None if corr is None else r["abs_corr"] == pytest.approx(corr, abs=1e-9))
+    part = np.repeat([1, 2, 3], [31, 30, 30])
+    thirds = {(r["left"], r["right"], r["third"]): r["abs_corr"] for r in correlation.third_correlations(df, {"f": names}).collect()}
+    assert thirds[("f0", "f2", 2)] == pytest.approx(plain_corr(x[part == 2, 0], x[part == 2, 2])[0], abs=1e-9)
+    edges = correlation.stable_edges(df, {"one": names[:4], "two": ["f1", "f0"]}, correlation.GLOBAL).collect()
+    assert {(r["family"], r["left"], r["right"]) for r in edges} == {("one", "f0", "f1"), ("two", "f1", "f0")}
+
+
+def test_ten_thousand_features(spark):
+    """As wide as the acceptance test of the engine's contract: near-copies in 10,000 columns, from 5e7 pairs."""
+    rng = np.random.default_rng(32)
+    d, n = 10_000, 36
+    x = rng.normal(size=(n, d))
+    x[:, 9_000] = x[:, 17] * 3
+    x[:, 600] = -x[:, 599]
+    rows = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "ts long, v array<double>")
+    names = [f"f{k:05d}" for k in range(d)]
+    wide = rows.selectExpr("ts", *[f"v[{k}] AS {c}" for k, c in enumerate(names)])
+    edges = correlation.stable_edges(wide, {"all": names}, correlation.Thresholds(0.995, 0.99)).collect()
+    assert {(r["left"], r["right"]) for r in edges} == {("f00017", "f09000"), ("f00599", "f00600")}
+
+
+def test_elections_equal_the_plain_greedy():
+    rng = random.Random(33)
+    for _ in range(60):
+        names = [f"n{k}" for k in range(rng.randint(2, 14))]
+        edges = [(a, b, round(rng.uniform(0.95, 1), 2)) for k, a in enumerate(names) for b in names[k + 1 :] if rng.random() < 0.3]
+        near = {f: {} for f in names}
+        for a, b, c in edges:
+            near[a][b] = near[b][a] = c
+        left, leaders, removed = set(names), [], {}
+        while left:
+            partners = {f: [c for g, c in near[f].items() if g in left] for f in left}
+            best = min(left, key=lambda f: (-len(partners[f]), -float(np.median(partners[f])) if partners[f] else 0.0, f))
+            leaders.append(best)
+            for g in near[best]:
+                if g in left:
+                    removed[g] = best
+            left -= {best, *near[best]}
+        got = correlation.elect_leaders(edges, {f: (f,) for f in names})
+        assert (got.representatives, got.removed) == (tuple(leaders), removed)
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_families_are_projected_in_one_pass(spark, monkeypatch, small):
+    monkeypatch.setattr(blocks, "SMALL_BYTES", small)
+    rng = np.random.default_rng(34)
+    x = rng.normal(size=(120, 6)) @ rng.normal(size=(6, 6)) + 1e5
+    x[rng.random((120, 6)) < 0.05] = np.nan
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) + (3.0,) for r in x], ", ".join(f"f{k} double" for k in range(7))).repartition(4)
+    found = pca.fit_families(df, {"a": ["f0", "f1", "f2"], "b": ["f3", "f4", "f5"], "flat": ["f0", "f6"]})
+    for name, at in (("a", [0, 1, 2]), ("b", [3, 4, 5])):
+        own = x[:, at][np.isfinite(x[:, at]).all(axis=1)]
+        z = (own - own.mean(axis=0)) / own.std(axis=0)
+        _, s, vt = np.linalg.svd(z, full_matrices=False)
+        np.testing.assert_allclose(np.abs(found[name].components), np.abs(vt), atol=1e-6)
+        np.testing.assert_allclose(found[name].explained, s**2 / (s**2).sum(), atol=1e-9)
+    assert isinstance(found["flat"], pca.StatisticallyInvalid)
+    assert pca.PCA.from_dict(found["a"].to_dict()) == found["a"]
+    with pytest.raises(pca.StatisticallyInvalid):
+        pca.fit_families(df, {"flat": ["f0", "f6"]}, strict=True)

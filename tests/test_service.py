@@ -2,14 +2,18 @@
 
 import datetime as dt
 import json
+import os
+import time as clock
 
 import numpy as np
 import pytest
+from pyspark.sql.functions import udf
 
 from strandline.models import hmm
 from strandline.operators import filtering
 from strandline.plans import refit
-from strandline.plans.service import Busy, Engine
+from strandline.plans.service import Busy, DeadlineExceeded, Engine
+from strandline.sources import profiles
 from strandline.sources.registry import Registry, package
 from strandline.streaming.causal import filter_stream
 
@@ -27,7 +31,7 @@ def panel(spark):
 
 
 def test_a_fold_is_selected_fitted_and_tested(spark, panel):
-    s = refit.Settings(core=("a", "b"), families={"mom": ("mom_1", "mom_2")}, seeds=(11, 23, 37, 53, 71, 89), max_features=2, min_train=90)
+    s = refit.Settings(core=("a", "b"), families={"mom": ("mom_1", "mom_2")}, seeds=(11, 23, 37, 53, 71, 89), max_features=2, min_train=90, inner_min_train=31, state_counts=(2,), model_families=(hmm.GAUSSIAN,))
     results = refit.run_monthly(spark, panel, s, last=1)
     assert [r.fold_id for r in results] == ["fold_002"]
     r = results[0]
@@ -62,6 +66,50 @@ def test_service_answers_from_the_registry(spark, panel, tmp_path):
     assert engine.health(["m", "x"]) == {"ready": False, "versions": {"m": 1, "x": None}}
 
 
+def test_a_replay_is_admitted_until_its_rows_are_here_and_has_a_deadline(spark, panel, tmp_path):
+    r = refit.final_refit(spark, panel, ["a", "b"], 2, min_rows=100)
+    registry = Registry(str(tmp_path))
+    registry.move_alias("m", "champion", None, registry.register("m", package(r["model"], r["features"], r["scaler"], r["trained_through"].isoformat(), r["alpha"], {})), "test")
+    slow = udf(lambda x: (clock.sleep(0.05), x)[1], "double")
+    engine = Engine(registry, panel.coalesce(1).withColumn("a", slow("a")), deadline_s=2)
+    with pytest.raises(DeadlineExceeded):
+        engine.replay("m", dt.date(2020, 1, 1), dt.date(2020, 7, 1))
+    assert profiles.status_of(DeadlineExceeded()) == 504 and engine._admission.acquire(blocking=False)
+
+
+def test_packages_in_use_stay(spark, panel, tmp_path):
+    r = refit.final_refit(spark, panel, ["a", "b"], 2, min_rows=100)
+    registry = Registry(str(tmp_path))
+    for k in range(4):
+        v = registry.register("m", package(r["model"], r["features"], r["scaler"], r["trained_through"].isoformat(), r["alpha"], {"k": k}))
+        registry.move_alias("m", f"a{k}", None, v, "test")
+    engine = Engine(registry, panel)
+    with engine._leased("m", "a0"):
+        for k in (1, 2, 3):
+            engine._pack("m", f"a{k}")
+        assert ("m", 1) in engine._packs and len(engine._packs) <= engine.VERSIONS + 1
+    engine._pack("m", "a1")
+    assert len(engine._packs) <= engine.VERSIONS
+
+
+def test_rollback_and_a_lock_left_by_a_crash(tmp_path):
+    registry = Registry(str(tmp_path))
+    m = hmm.HMM(hmm.GAUSSIAN, np.array([1.0]), np.ones((1, 1)), np.zeros((1, 1)), np.ones((1, 1, 1)), log_likelihood=0.0)
+    one, two = (registry.register("m", package(m, ["x"], {"x": (0.0, 1.0)}, "2020-01-01", [1.0], {"k": k})) for k in (1, 2))
+    registry.move_alias("m", "champion", None, one, "a")
+    with pytest.raises(KeyError):
+        registry.rollback("m", "champion", "a")
+    registry.move_alias("m", "champion", one, two, "a")
+    assert registry.rollback("m", "champion", "b") == one == registry.resolve("m", "champion")
+    (tmp_path / ".lock").touch()
+    with pytest.raises(TimeoutError), registry._locked(0.05):
+        pass
+    os.utime(tmp_path / ".lock", (0, 0))
+    with registry._locked(0.05):
+        assert (tmp_path / ".lock").exists()
+    assert not (tmp_path / ".lock").exists()
+
+
 def test_stream_equals_batch_and_rejects_late_rows(spark, tmp_path):
     m = hmm.HMM(hmm.GAUSSIAN, np.array([0.5, 0.5]), np.array([[0.9, 0.1], [0.2, 0.8]]), np.array([[-1.0], [1.0]]), np.ones((2, 1, 1)))
     values = [0.5, -1.0, None, 2.0, 0.1, 1.5]
