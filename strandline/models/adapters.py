@@ -23,8 +23,13 @@ class Adapter(Protocol):
 
 
 class HMMAdapter:
-    def __init__(self, family: str) -> None:
-        self.family, self.model = family, None
+    def __init__(self, family: str, model: hmm.HMM | None = None) -> None:
+        self.family, self.model = family, model
+
+    def fit_many(self, x: np.ndarray, states: int, seeds: list[int], max_rounds: int | None = None, tolerance: float = hmm.TOLERANCE) -> list[HMMAdapter | Exception]:
+        """An adapter for each seed, or its failure. A family without this method is fitted seed by seed."""
+        found = hmm.fit_many(x, states, self.family, seeds, max_rounds, tolerance)
+        return [m if isinstance(m, Exception) else HMMAdapter(self.family, m) for m in found]
 
     def fit(self, x: np.ndarray, states: int, seed: int, max_rounds: int | None = None, tolerance: float = hmm.TOLERANCE) -> None:
         self.model = hmm.fit(x, states, self.family, seed, max_rounds, tolerance)

@@ -67,8 +67,8 @@ class HMM:
 
 def _form(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float]:
     chol = np.linalg.cholesky(cov)
-    z = np.linalg.solve(chol, (x - mean).T)
-    return (z * z).sum(axis=0), 2 * float(np.log(np.diag(chol)).sum())
+    z = (x - mean) @ np.linalg.inv(chol).T
+    return np.einsum("nd,nd->n", z, z), 2 * float(np.log(np.diag(chol)).sum())
 
 
 def gaussian_log_density(x: np.ndarray, mean: np.ndarray, cov: np.ndarray) -> np.ndarray:
@@ -90,15 +90,17 @@ def component_log_densities(x: np.ndarray, m: HMM) -> np.ndarray:
     return out
 
 
-def _steps(e: np.ndarray, transition: np.ndarray) -> np.ndarray:
-    """Transition-and-emission matrices of rows 1 to n - 1, in blocks of equal length (blocks x length x K x K), the last filled up with identities."""
-    n, k = len(e) - 1, e.shape[1]
+def _steps(e: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transition-and-emission matrices of rows 1 to n - 1 of each model (models x rows x K x K), and the same in blocks of equal length, the last filled
+    up with identities, with models and blocks last (length x K x K x models x blocks), so that a step over all of them runs along memory."""
+    models, n, k = e.shape
+    n -= 1
     length = max(1, math.isqrt(max(n, 1)))
     blocks = max(1, -(-n // length))
-    m = np.empty((blocks * length, k, k))
-    m[:n] = transition * e[1:, None, :]
-    m[n:] = np.eye(k)
-    return m.reshape(blocks, length, k, k)
+    m = np.empty((models, blocks * length, k, k))
+    m[:, :n] = transition[:, None] * e[:, 1:, None, :]
+    m[:, n:] = np.eye(k)
+    return m[:, :n], np.ascontiguousarray(m.reshape(models, blocks, length, k, k).transpose(2, 3, 4, 0, 1))
 
 
 def _normalised(v: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
@@ -108,34 +110,46 @@ def _normalised(v: np.ndarray, axes: tuple[int, ...]) -> np.ndarray:
     return v / total
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix products over the first two axes."""
+    out = a[:, 0, None] * b[0, None]
+    for k in range(1, len(b)):
+        out += a[:, k, None] * b[k, None]
+    return out
+
+
 def _alphas(first: np.ndarray, m: np.ndarray, n: int) -> np.ndarray:
-    """Filtered probabilities of n rows. The recursion runs along all blocks at once, then over the blocks: about 2 sqrt(n) steps for n rows."""
-    blocks, length, k, _ = m.shape
-    products, current = np.empty_like(m), np.repeat(np.eye(k)[None], blocks, axis=0)
-    for j in range(length):
-        current = _normalised(current @ m[:, j], (1, 2))
-        products[:, j] = current
-    entry = np.empty((blocks, k))
-    entry[0] = first
+    """Filtered probabilities of n rows (models x n x K). The recursion runs along all blocks of all models at once, then over the blocks: about 2 sqrt(n) steps."""
+    length, k, _, models, blocks = m.shape
+    products = np.empty_like(m)
+    products[0] = _normalised(m[0], (0, 1))
+    for j in range(1, length):
+        products[j] = _normalised(_product(products[j - 1], m[j]), (0, 1))
+    entry = np.empty((k, models, blocks))
+    entry[:, :, 0] = first.T
+    last = np.ascontiguousarray(products[-1].transpose(3, 0, 1, 2))
     for b in range(1, blocks):
-        entry[b] = _normalised(entry[b - 1] @ products[b - 1, -1], (0,))
-    rest = _normalised(np.einsum("bk,bjkl->bjl", entry, products), (2,)).reshape(-1, k)
-    return np.vstack([first[None], rest[: n - 1]])
+        entry[:, :, b] = _normalised((entry[:, None, :, b - 1] * last[b - 1]).sum(axis=0), (0,))
+    rest = sum(entry[i] * products[:, i] for i in range(k))
+    rest = _normalised(rest, (1,)).transpose(2, 3, 0, 1).reshape(models, -1, k)
+    return np.concatenate([first[:, None], rest[:, : n - 1]], axis=1)
 
 
 def _betas(m: np.ndarray, n: int) -> np.ndarray:
     """What the rows after each row say about its state, up to a factor for each row."""
-    blocks, length, k, _ = m.shape
-    products, current = np.empty_like(m), np.repeat(np.eye(k)[None], blocks, axis=0)
-    for j in range(length - 1, -1, -1):
-        current = _normalised(m[:, j] @ current, (1, 2))
-        products[:, j] = current
-    out = np.empty((blocks, k))
-    out[-1] = 1
+    length, k, _, models, blocks = m.shape
+    products = np.empty_like(m)
+    products[-1] = _normalised(m[-1], (0, 1))
+    for j in range(length - 2, -1, -1):
+        products[j] = _normalised(_product(m[j], products[j + 1]), (0, 1))
+    after = np.empty((k, models, blocks))
+    after[:, :, -1] = 1
+    whole = np.ascontiguousarray(products[0].transpose(3, 0, 1, 2))
     for b in range(blocks - 2, -1, -1):
-        out[b] = _normalised(products[b + 1, 0] @ out[b + 1], (0,))
-    rest = _normalised(np.einsum("bjkl,bl->bjk", products, out), (2,)).reshape(-1, k)
-    return np.vstack([rest[: n - 1], np.ones((1, k))])
+        after[:, :, b] = _normalised((whole[b + 1] * after[None, :, :, b + 1]).sum(axis=1), (0,))
+    rest = sum(after[i] * products[:, :, i] for i in range(k))
+    rest = _normalised(rest, (1,)).transpose(2, 3, 0, 1).reshape(models, -1, k)
+    return np.concatenate([rest[:, : n - 1], np.ones((models, 1, k))], axis=1)
 
 
 def forward(log_e: np.ndarray, start: np.ndarray, transition: np.ndarray, alpha: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -149,23 +163,29 @@ def forward(log_e: np.ndarray, start: np.ndarray, transition: np.ndarray, alpha:
     top = log_e.max(axis=1)
     e = np.exp(log_e - top[:, None])
     prior = start if alpha is None else alpha @ transition
-    out = _alphas(_normalised(prior * e[0], (0,)), _steps(e, transition), n)
+    out = _alphas(_normalised(prior * e[0], (0,))[None], _steps(e[None], transition[None])[1], n)[0]
     expected = np.vstack([prior[None], out[:-1] @ transition])
     return out, top + np.log((expected * e).sum(axis=1))
 
 
+def expectations(log_e: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of several models of one number of states over one series (models x n x K): smoothed state probabilities, summed transition counts, log-likelihoods."""
+    models, n, k = log_e.shape
+    top = log_e.max(axis=2)
+    e = np.exp(log_e - top[:, :, None])
+    rows, m = _steps(e, transition)
+    alpha, beta = _alphas(_normalised(start * e[:, 0], (1,)), m, n), _betas(m, n)
+    expected = np.concatenate([start[:, None], alpha[:, :-1] @ transition], axis=1)
+    ll = (top + np.log((expected * e).sum(axis=2))).sum(axis=1)
+    joint = alpha[:, :-1, :, None] * rows * beta[:, 1:, None, :]
+    xi = _normalised(joint, (2, 3)).sum(axis=1) if n > 1 else np.zeros((models, k, k))
+    return _normalised(alpha * beta, (2,)), xi, ll
+
+
 def expectation(log_e: np.ndarray, start: np.ndarray, transition: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Smoothed state probabilities, summed transition counts, and the log-likelihood."""
-    n, k = log_e.shape
-    top = log_e.max(axis=1)
-    e = np.exp(log_e - top[:, None])
-    m = _steps(e, transition)
-    alpha, beta = _alphas(_normalised(start * e[0], (0,)), m, n), _betas(m, n)
-    expected = np.vstack([start[None], alpha[:-1] @ transition])
-    ll = float((top + np.log((expected * e).sum(axis=1))).sum())
-    joint = alpha[:-1, :, None] * m.reshape(-1, k, k)[: n - 1] * beta[1:, None, :]
-    xi = _normalised(joint, (1, 2)).sum(axis=0) if n > 1 else np.zeros((k, k))
-    return _normalised(alpha * beta, (1,)), xi, ll
+    """expectations() of one model (n x K)."""
+    gamma, xi, ll = expectations(log_e[None], start[None], transition[None])
+    return gamma[0], xi[0], float(ll[0])
 
 
 def _spread(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -209,10 +229,8 @@ def update_nu(weights: np.ndarray, u: np.ndarray, nu: float, d: int) -> float:
     return (low + high) / 2
 
 
-def fit(x: np.ndarray, states: int, family: str = GAUSSIAN, seed: int = 11, max_rounds: int | None = None, tolerance: float = TOLERANCE) -> HMM:
+def _started(x: np.ndarray, states: int, family: str, seed: int) -> HMM:
     n, d = x.shape
-    if n < 2 * states or not np.isfinite(x).all():
-        raise ValueError("too few rows, or a value is not finite")
     rng = np.random.default_rng(seed)
     base = np.cov(x.T, bias=True).reshape(d, d) + MIN_COVARIANCE * np.eye(d)
     model = HMM(family, np.full(states, 1 / states), np.full((states, states), 0.1 / max(states - 1, 1)) + np.eye(states) * (0.9 - 0.1 / max(states - 1, 1)), _spread(x, states, rng), np.repeat(base[None], states, axis=0))
@@ -224,43 +242,84 @@ def fit(x: np.ndarray, states: int, family: str = GAUSSIAN, seed: int = 11, max_
         model.covariances = np.repeat(model.covariances[:, None], 2, axis=1)
     if family == STUDENT_T:
         model.nu = np.full(states, NU_START)
-    limit = max_rounds or (NU_ROUNDS if family == STUDENT_T else MAX_ROUNDS)
-    for _ in range(limit):
-        gamma, xi, ll = expectation(model.log_emissions(x), model.start, model.transition)
-        if model.history:
-            gain, slack = ll - model.history[-1], 1e-8 * max(1.0, abs(ll))
-            if gain < -slack - (1e-6 * abs(ll) if family == STUDENT_T else 0):
-                model.history.append(ll)
-                model.log_likelihood, model.converged = ll, False
-                return model
-            if gain < tolerance * (max(1.0, abs(ll)) if family == STUDENT_T else 1.0):
-                model.history.append(ll)
-                model.log_likelihood, model.converged = ll, True
-                return model
-        model.history.append(ll)
-        before = model.log_emissions(x) if family == MIXTURE else None
-        model.start = gamma[0] / gamma[0].sum()
-        model.transition = (xi + 1e-12) / (xi + 1e-12).sum(axis=1, keepdims=True)
-        if family == MIXTURE:
-            parts = component_log_densities(x, model)
-            share = np.exp(parts - before[:, :, None]) * gamma[:, :, None]
-            model.weights = share.sum(axis=0) / np.maximum(share.sum(axis=(0, 2))[:, None], 1e-12)
-            for k in range(states):
-                for c in range(2):
-                    model.means[k, c], model.covariances[k, c] = _weighted(x, share[:, k, c])
-        elif family == STUDENT_T:
-            for k in range(states):
-                q, _ = _form(x, model.means[k], model.covariances[k])
-                u = (model.nu[k] + d) / (model.nu[k] + q)
-                model.means[k], model.covariances[k] = _weighted(x, gamma[:, k], u)
-                model.nu[k] = update_nu(gamma[:, k], u, float(model.nu[k]), d)
-        else:
-            for k in range(states):
-                model.means[k], model.covariances[k] = _weighted(x, gamma[:, k])
-    model.log_likelihood = model.history[-1]
     return model
 
 
+def _settled(model: HMM, ll: float, tolerance: float) -> bool:
+    """Takes in a round's log-likelihood; true if the fit ends, converged or not."""
+    if model.history:
+        gain, slack = ll - model.history[-1], 1e-8 * max(1.0, abs(ll))
+        fell = gain < -slack - (1e-6 * abs(ll) if model.family == STUDENT_T else 0)
+        if fell or gain < tolerance * (max(1.0, abs(ll)) if model.family == STUDENT_T else 1.0):
+            model.history.append(ll)
+            model.log_likelihood, model.converged = ll, not fell
+            return True
+    model.history.append(ll)
+    return False
+
+
+def _maximised(model: HMM, x: np.ndarray, log_e: np.ndarray, gamma: np.ndarray, xi: np.ndarray) -> None:
+    states, d = model.states, x.shape[1]
+    model.start = gamma[0] / gamma[0].sum()
+    model.transition = (xi + 1e-12) / (xi + 1e-12).sum(axis=1, keepdims=True)
+    if model.family == MIXTURE:
+        parts = component_log_densities(x, model)
+        share = np.exp(parts - log_e[:, :, None]) * gamma[:, :, None]
+        model.weights = share.sum(axis=0) / np.maximum(share.sum(axis=(0, 2))[:, None], 1e-12)
+        for k in range(states):
+            for c in range(2):
+                model.means[k, c], model.covariances[k, c] = _weighted(x, share[:, k, c])
+    elif model.family == STUDENT_T:
+        for k in range(states):
+            q, _ = _form(x, model.means[k], model.covariances[k])
+            u = (model.nu[k] + d) / (model.nu[k] + q)
+            model.means[k], model.covariances[k] = _weighted(x, gamma[:, k], u)
+            model.nu[k] = update_nu(gamma[:, k], u, float(model.nu[k]), d)
+    else:
+        for k in range(states):
+            model.means[k], model.covariances[k] = _weighted(x, gamma[:, k])
+
+
+def fit_many(x: np.ndarray, states: int, family: str, seeds: list[int], max_rounds: int | None = None, tolerance: float = TOLERANCE) -> list[HMM | Exception]:
+    """A model for each seed, or the numerical failure that ended its fit. The recursions of all seeds that haven't settled run as one."""
+    n, d = x.shape
+    if n < 2 * states or not np.isfinite(x).all():
+        raise ValueError("too few rows, or a value is not finite")
+    out: list[HMM | Exception] = [_started(x, states, family, s) for s in seeds]
+    going = list(range(len(seeds)))
+    failures = (np.linalg.LinAlgError, FloatingPointError)
+
+    def attempt(k: int, f) -> object:
+        try:
+            return f()
+        except failures as e:
+            out[k] = e
+            return None
+
+    for _ in range(max_rounds or (NU_ROUNDS if family == STUDENT_T else MAX_ROUNDS)):
+        log_e = {k: e for k in going if (e := attempt(k, lambda k=k: out[k].log_emissions(x))) is not None}
+        going = list(log_e)
+        if not going:
+            break
+        try:
+            found = expectations(np.stack([log_e[k] for k in going]), np.stack([out[k].start for k in going]), np.stack([out[k].transition for k in going]))
+            each = dict(zip(going, zip(*found, strict=True), strict=True))
+        except FloatingPointError:  # of one of them: each by itself
+            each = {k: r for k in going if (r := attempt(k, lambda k=k: expectation(log_e[k], out[k].start, out[k].transition))) is not None}
+        going = [k for k, (_, _, ll) in each.items() if not _settled(out[k], float(ll), tolerance)]
+        going = [k for k in going if attempt(k, lambda k=k: (_maximised(out[k], x, log_e[k], *each[k][:2]), True))]
+    for k in going:
+        out[k].log_likelihood = out[k].history[-1]
+    return out
+
+
+def fit(x: np.ndarray, states: int, family: str = GAUSSIAN, seed: int = 11, max_rounds: int | None = None, tolerance: float = TOLERANCE) -> HMM:
+    found = fit_many(x, states, family, [seed], max_rounds, tolerance)[0]
+    if isinstance(found, Exception):
+        raise found
+    return found
+
+
 def covariance_reason(model: HMM) -> str | None:
     """Why a model's covariances are not acceptable: not finite, not symmetric, a variance too small, or not positive definite."""
     _, covs = model.moments()

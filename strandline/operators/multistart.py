@@ -43,36 +43,57 @@ def run(spark: SparkSession, matrix: np.ndarray, jobs: list[Job], seeds: tuple[i
     if matrix.nbytes > MAX_MATRIX_BYTES:
         raise ValueError(f"a matrix of {matrix.nbytes >> 20} MB; {MAX_MATRIX_BYTES >> 20} are allowed")
     shipped = spark.sparkContext.broadcast((matrix, jobs, factories or adapters.FACTORIES))
-    tasks = spark.range(len(jobs) * len(seeds)).select(F.floor(F.col("id") / len(seeds)).cast("int").alias("j"), F.element_at(F.array(*[F.lit(s) for s in seeds]), (F.col("id") % len(seeds) + 1).cast("int")).alias("seed"))
-    tasks = tasks.repartition(min(len(jobs) * len(seeds), 4 * spark.sparkContext.defaultParallelism))
-
-    def one(j: int, seed: int) -> dict:
+    # Seeds of a job share a task, where their recursions run as one, as far as every core has a task.
+    cores = spark.sparkContext.defaultParallelism
+    together = max(1, min(len(seeds), len(jobs) * len(seeds) // cores))
+    groups = [list(map(int, seeds[k : k + together])) for k in range(0, len(seeds), together)]
+    listed = F.array(*[F.array(*[F.lit(s).cast("long") for s in g]) for g in groups])
+    tasks = spark.range(len(jobs) * len(groups)).select(F.floor(F.col("id") / len(groups)).cast("int").alias("j"), F.element_at(listed, (F.col("id") % len(groups) + 1).cast("int")).alias("seeds"))
+    tasks = tasks.repartition(max(1, min(len(jobs) * len(groups), 4 * cores)))
+
+    def fitted(make, x: np.ndarray, job: Job, chosen: list[int]) -> list:
+        if hasattr(make(), "fit_many"):
+            return make().fit_many(x, job.states, chosen, max_rounds, tolerance)
+        out = []
+        for seed in chosen:
+            model = make()
+            try:
+                model.fit(x, job.states, seed, max_rounds, tolerance)
+                out.append(model)
+            except (np.linalg.LinAlgError, FloatingPointError) as e:
+                out.append(e)
+        return out
+
+    def some(j: int, chosen: list[int]) -> list[dict]:
         data, all_jobs, made = shipped.value
         job = all_jobs[j]
-        out = {"job": job.job, "seed": int(seed), "ok": False, "reason": None, "ll": None, "test_ll": None, "test_n": 0, "model": None}
+        blank = lambda seed, reason: {"job": job.job, "seed": int(seed), "ok": False, "reason": reason, "ll": None, "test_ll": None, "test_n": 0, "model": None}
         train, test = (part[np.isfinite(part).all(axis=1)] for part in (data[: job.train, job.columns], data[job.train : job.train + job.test, job.columns]))
         if len(train) < 10 * job.states:
-            return out | {"reason": "too_few_rows"}
+            return [blank(s, "too_few_rows") for s in chosen]
         mean, scale = train.mean(axis=0), train.std(axis=0)
         if (scale <= 0).any():
-            return out | {"reason": "constant_feature"}
-        model = made[job.family]()
-        try:
-            model.fit((train - mean) / scale, job.states, int(seed), max_rounds, tolerance)
-        except (np.linalg.LinAlgError, FloatingPointError):
-            return out | {"reason": "numerical"}
-        if not model.converged:
-            return out | {"reason": "not_converged"}
-        p, _ = model.causal_filter((train - mean) / scale)
-        if len(test):
-            _, inc = model.causal_filter((test - mean) / scale, p[-1])
-            out |= {"test_ll": float(inc.sum() - len(test) * np.log(scale).sum()), "test_n": len(test)}
-        kept = model.extract() | {"scaler": [mean.tolist(), scale.tolist()], "alpha": p[-1].tolist()}
-        return out | {"ok": True, "ll": model.log_likelihood, "model": json.dumps(kept)}
+            return [blank(s, "constant_feature") for s in chosen]
+        x, y, out = (train - mean) / scale, (test - mean) / scale, []
+        for seed, model in zip(chosen, fitted(made[job.family], x, job, chosen), strict=True):
+            if isinstance(model, Exception):
+                out.append(blank(seed, "numerical"))
+                continue
+            if not model.converged:
+                out.append(blank(seed, "not_converged"))
+                continue
+            p, _ = model.causal_filter(x)
+            row = blank(seed, None) | {"ok": True, "ll": model.log_likelihood}
+            if len(y):
+                _, inc = model.causal_filter(y, p[-1])
+                row |= {"test_ll": float(inc.sum() - len(y) * np.log(scale).sum()), "test_n": len(y)}
+            out.append(row | {"model": json.dumps(model.extract() | {"scaler": [mean.tolist(), scale.tolist()], "alpha": p[-1].tolist()})})
+        return out
 
     def many(batches):
         for pdf in batches:
-            yield pd.DataFrame([one(j, s) for j, s in zip(pdf["j"], pdf["seed"], strict=True)], columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"test_n": "int64"})
+            rows = [r for j, chosen in zip(pdf["j"], pdf["seeds"], strict=True) for r in some(j, [int(s) for s in chosen])]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"test_n": "int64"})
 
     return tasks.mapInPandas(many, RESULT)
 

@@ -191,3 +191,51 @@ def test_multistart_gives_the_same_rows_for_any_partitioning(spark):
     assert {r[3] for r in a if r[0] == "bad"} == {"too_few_rows"}
     w = {r["job"]: r for r in multistart.winners(multistart.run(spark, x, jobs, (11, 23)), 1, 0.5).collect()}
     assert w["j"]["valid"] and not w["bad"]["valid"]
+
+
+@pytest.mark.parametrize("family", hmm.FAMILIES)
+def test_seeds_fitted_together_equal_seeds_fitted_alone(family):
+    rng = np.random.default_rng(41)
+    state = np.cumsum(rng.random(300) < 0.05) % 2
+    x = rng.normal(size=(300, 2)) + 3.0 * state[:, None]
+    seeds = [11, 23, 37, 53]
+    for seed, found in zip(seeds, hmm.fit_many(x, 2, family, seeds, 60), strict=True):
+        alone = hmm.fit(x, 2, family, seed, 60)
+        assert (found.converged, len(found.history)) == (alone.converged, len(alone.history))
+        np.testing.assert_allclose(found.history, alone.history, rtol=1e-12)
+        np.testing.assert_allclose(found.means, alone.means, atol=1e-9)
+
+
+def test_one_failing_seed_leaves_the_others(monkeypatch):
+    rng = np.random.default_rng(42)
+    x = np.concatenate([rng.normal(-4, 1, (80, 1)), rng.normal(4, 1, (80, 1))])
+    plain = hmm._started
+
+    def started(x, states, family, seed):
+        m = plain(x, states, family, seed)
+        if seed == 2:
+            m.start, m.transition = np.array([1.0, 0.0]), np.array([[0.0, 1.0], [0.0, 0.0]])  # no path explains three rows
+        return m
+
+    monkeypatch.setattr(hmm, "_started", started)
+    one, two, three = hmm.fit_many(x, 2, hmm.GAUSSIAN, [1, 2, 3])
+    assert isinstance(two, FloatingPointError) and one.converged and three.converged
+
+
+def test_smoothing_equals_the_plain_recursion():
+    rng = np.random.default_rng(43)
+    for n, k in ((1, 2), (2, 3), (7, 2), (50, 4)):
+        log_e, start, a = rng.normal(size=(n, k)), rng.dirichlet(np.ones(k)), rng.dirichlet(np.ones(k), k)
+        e = np.exp(log_e)
+        alpha, beta = np.zeros((n, k)), np.ones((n, k))
+        alpha[0] = start * e[0]
+        for i in range(1, n):
+            alpha[i] = alpha[i - 1] @ a * e[i]
+        for i in range(n - 2, -1, -1):
+            beta[i] = a @ (e[i + 1] * beta[i + 1])
+        total = alpha[-1].sum()
+        xi = sum((alpha[i][:, None] * a * (e[i + 1] * beta[i + 1])[None] / total for i in range(n - 1)), np.zeros((k, k)))
+        gamma, counts, ll = hmm.expectation(log_e, start, a)
+        np.testing.assert_allclose(gamma, alpha * beta / total, atol=1e-12)
+        np.testing.assert_allclose(counts, xi, atol=1e-12)
+        assert ll == pytest.approx(np.log(total))
