@@ -16,7 +16,7 @@
 Defined results: a null, empty or blank text has no shingle, links with nothing and is kept; equal sets are linked
 whatever the texts; a repeated doc_id is a document in the component of each of its texts, and rows of one doc_id and
 text are one document; a null doc_id is compared as any other, and is kept if its component has no other id (one text of
-it, if there are several); an empty table gives an empty result; extra columns are ignored.
+it, if there are several); an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Remembered, materialize, quoted, slices, to_python, unused
 from .components import connected_components
-from .shingles import WordHashes, mix, shingle_set
+from .shingles import mix, shingle_set
 
 SIGNATURE, ROWS = 128, 4
 BANDS = SIGNATURE // ROWS
 PERCENT = 75
-#: A pair is dropped unverified if more sketch bits differ. At a similarity of 0.75, 16 differ on average, by 3.7; 36 are five deviations off.
-SKETCH_BITS = 36
+#: A pair is dropped unverified if more sketch bits differ. At a similarity of 0.75, 16 differ on average, by 3.7; more than 44 do for 1 pair in 10^10.
+SKETCH_BITS = 44
 CHUNK = 64
 _STEPS = np.arange(1, SIGNATURE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _LAST = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -63,14 +63,14 @@ def superminhash(shingles: np.ndarray, size: int = SIGNATURE) -> np.ndarray:
 
 
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
+    Remembered.begin("shingles")
     odd = mix(_STEPS[:ROWS]) | np.uint64(1)
     bands = mix(np.arange(BANDS, dtype=np.uint64))
-    for batch in batches:
+    for batch in slices(batches, 1):
         n, sizes = batch.num_rows, np.zeros(batch.num_rows, np.int64)
         ids, keys, bits = np.zeros((n, 2), np.int64), np.zeros((n, BANDS), np.int64), np.zeros((n, SIGNATURE // 64), np.int64)
         for i, text in enumerate(batch.column("text")):
-            s = shingle_set(text.as_py(), hashes)
+            s = shingle_set(text.as_py())
             if not len(s):
                 continue
             sizes[i] = len(s)
@@ -85,14 +85,15 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, a, b, text), a cell's texts (b null) before its pairs -> (a, b, shared, total) shingles of each pair. Only one cell's sets are held."""
-    hashes, cell, held = WordHashes(), None, {}
+    Remembered.begin("shingles")
+    cell, held = None, {}
     for batch in batches:
         found = []
         for key, a, b, text in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
             if key != cell:
                 cell, held = key, {}
             if b is None:
-                held[a] = shingle_set(text.as_py(), hashes)
+                held[a] = shingle_set(text.as_py())
             else:
                 x, y = held[a], held[b]
                 shared = len(np.intersect1d(x, y, assume_unique=True))
@@ -132,7 +133,7 @@ def _compare(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
     read = _texts_of(members, "a", facts, texts).select("cell", "a", F.lit(None).cast("long").alias("b"), "text")
     rows = read.union(cells.select("cell", "a", "b", F.lit(None).cast("binary")))
     rows = rows.repartition("cell").sortWithinPartitions("cell", F.col("b").isNotNull())
-    return rows.mapInArrow(_compared, "a long, b long, shared long, total long")
+    return to_python(rows).mapInArrow(_compared, "a long, b long, shared long, total long")
 
 
 def _similar():
@@ -141,15 +142,21 @@ def _similar():
 
 def _unsettled(buckets: DataFrame, parts: DataFrame) -> DataFrame:
     """(key, id, lead, component) of the buckets whose members, the leader aside (it was compared with all), are of several components."""
-    marked = buckets.filter("id <> lead").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    marked = buckets.filter("id <> lead").join(parts, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component"))
+    marked = materialize(marked, "marked")
     still = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    return materialize(marked.join(still.select("key"), "key").select("key", "id", "lead", "component"), "unsettled")
+    return materialize(_of_keys(marked, still.select("key")), "unsettled")
+
+
+def _of_keys(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """rows of the aggregated keys. These are a table by then, so that the join is of two plain exchanges, and a large bucket's partition can be split."""
+    return rows.join(materialize(keys, "keys"), "key")
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        sets = [shingle_set(t.as_py(), hashes).view(np.int64) for t in batch.column(1)]
+    Remembered.begin("shingles")
+    for batch in slices(batches, 1):
+        sets = [shingle_set(t.as_py()).view(np.int64) for t in batch.column(1)]
         ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
         lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*sets, np.empty(0, np.int64)])))
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "shingles"])
@@ -165,9 +172,9 @@ def _prefix_pairs(unsettled: DataFrame, facts: DataFrame, texts: DataFrame) -> D
     """
     ids = materialize(unsettled.groupBy("id").agg(F.min("lead").alias("g"), F.min("component").alias("component")), "unsettled-ids")
     read = _texts_of(ids.select("id"), "id", facts, texts).select("id", "text").dropDuplicates(["id"])
-    listed = materialize(read.mapInArrow(_listed, "id long, shingles array<long>"), "shingles")
+    listed = materialize(to_python(read).mapInArrow(_listed, "id long, shingles array<long>"), "shingles")
     long = listed.select("id", F.explode("shingles").alias("s"))
-    frequent = long.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1")
+    frequent = materialize(long.groupBy("s").agg(F.count("*").alias("df")).filter("df > 1"), "frequent")
     n = F.size("shingles")
     sizes = listed.select("id", (n - F.ceil(n * PERCENT / 100) + 1).alias("prefix"), n.alias("n"))
     # Shingles of one document only come first and pair nothing: they only use up the prefix.
@@ -175,9 +182,10 @@ def _prefix_pairs(unsettled: DataFrame, facts: DataFrame, texts: DataFrame) -> D
     rank, alone = F.row_number().over(W.partitionBy("id").orderBy("df", "s")), F.col("n") - F.count("*").over(W.partitionBy("id"))
     tokens = shared.join(sizes, "id").withColumn("rank", rank).withColumn("alone", alone).filter("rank + alone <= prefix").select("s", "id", (F.col("n") - F.col("rank") - F.col("alone")).alias("after"))
     tokens = tokens.join(ids, "id")
+    tokens = materialize(tokens, "prefixes")
     parts = tokens.groupBy("s", "component").agg(F.count("*").alias("k"))
     largest = parts.groupBy("s").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("c")).filter("c > 1").drop("c")
-    tokens = materialize(tokens.join(largest, "s").join(facts.withColumnRenamed("rep", "id").drop("k1", "k2"), "id"), "tokens")
+    tokens = materialize(tokens.join(materialize(largest, "largest"), "s").join(facts.withColumnRenamed("rep", "id").drop("k1", "k2"), "id"), "tokens")
     x, y = tokens.filter("component <> largest").alias("x"), tokens.alias("y")
     once = (F.col("y.component") == F.col("y.largest")) | (F.col("x.id") < F.col("y.id"))
     # If this is the first shingle they share, they share as many more as come after it at most; J >= t asks for t / (1 + t) of both sizes.
@@ -192,7 +200,7 @@ def _rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").cast("binary").alias("text"))
     texts = texts.select("*", *_row_keys(F.col("doc_id"), F.col("text")))
     schema = "doc_id long, k1 long, k2 long, n_shingles long, h1 long, h2 long, s0 long, s1 long, bands array<long>"
-    described = materialize(texts.mapInArrow(_described, schema), "signatures")
+    described = materialize(to_python(texts).mapInArrow(_described, schema), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "k1", "k2")
     classes = described.filter("n_shingles > 0").groupBy("h1", "h2").agg(F.min(row).alias("first"))
     classes = materialize(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
@@ -201,8 +209,8 @@ def _rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     facts = reps.drop("bands")
 
     buckets = reps.select(F.explode("bands").alias("key"), F.col("rep").alias("id"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("k")).filter("k > 1")
-    buckets = materialize(buckets.join(shared.drop("k"), "key"), "buckets")
+    shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    buckets = materialize(_of_keys(buckets, shared), "buckets")
 
     def star(members: DataFrame) -> DataFrame:
         """Each bucket's leader with its members, once for each different pair, where sizes and sketches admit it."""
@@ -216,7 +224,7 @@ def _rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     if not unsettled.isEmpty():
         likeness = known.select(F.col("a").alias("lead"), F.col("b").alias("id"), (F.col("shared") / F.col("total")).alias("j"))
         central = unsettled.join(likeness, ["lead", "id"]).groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("j", "id")).alias("c"))
-        again = unsettled.drop("lead").join(central, "key").filter("component <> c.component").select("key", "id", F.col("c.id").alias("lead"))
+        again = _of_keys(unsettled.drop("lead"), central).filter("component <> c.component").select("key", "id", F.col("c.id").alias("lead"))
         fresh = materialize(star(again).withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).dropDuplicates(["a", "b"]).join(known, ["a", "b"], "left_anti").select("g", "a", "b"), "pairs")
         known = known.union(materialize(_compare(fresh, facts, texts), "compared"))
         parts = materialize(connected_components(known.filter(_similar()).select("a", "b")), "components")
@@ -242,8 +250,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """docs without all but one row of each component. Rows without a shingle all stay."""
-    kept = _rows(docs).filter("kept").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), (F.col("n_shingles") == 0).alias("__alone")).distinct()
-    k1, k2 = _row_keys(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
-    rows = docs.withColumns({"__k1": k1, "__k2": k2}).join(kept, ["__k1", "__k2"])
-    rows = rows.withColumn("__row", F.when(F.col("__alone"), F.monotonically_increasing_id()))
-    return rows.dropDuplicates(["__k1", "__k2", "__row"]).select(*docs.columns)
+    k1, k2, alone, row = unused(docs, "k1", "k2", "alone", "row")
+    kept = _rows(docs).filter("kept").select(F.col("k1").alias(k1), F.col("k2").alias(k2), (F.col("n_shingles") == 0).alias(alone)).distinct()
+    own = _row_keys(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary"))
+    rows = docs.withColumns(dict(zip((k1, k2), own, strict=True))).join(kept, [k1, k2])
+    rows = rows.withColumn(row, F.when(F.col(alone), F.monotonically_increasing_id()))
+    return rows.dropDuplicates([k1, k2, row]).select(*quoted(*docs.columns))
