@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +89,46 @@ def slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Record
             start = stop
 
 
+class Remembered(dict):
+    """What made(key) gives for the last keys asked for: LIMIT to 2 * LIMIT of them, those in use again and again always among them.
+
+    A worker process keeps it from task to task, until a task of another operator begins.
+    """
+
+    LIMIT = 1 << 16
+    OPERATOR = ""
+    _every: ClassVar[list] = []
+
+    def __init__(self) -> None:
+        self.older: dict = {}
+        Remembered._every.append(weakref.ref(self))
+
+    def made(self, key):
+        raise NotImplementedError
+
+    def release(self) -> None:
+        self.clear()
+        self.older = {}
+
+    @staticmethod
+    def begin(operator: str) -> None:
+        """Releases what other operators remember in this process."""
+        Remembered._every[:] = [r for r in Remembered._every if r() is not None]
+        for other in [r() for r in Remembered._every]:
+            if other is not None and other.OPERATOR != operator and (other or other.older):
+                other.release()
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.made(key)
+        if len(self) >= self.LIMIT:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, with underscores before them until no column of df is called so: columns that an operator adds for itself."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -103,7 +145,7 @@ def quoted(*names: str) -> list[Column]:
     return [F.col("`" + name.replace("`", "``") + "`") for name in names]
 
 
-def map_texts(docs: DataFrame, kept: list[str], text: str, made: list[T.StructField], make: Callable[[list[str | None]], list[pa.Array]]) -> DataFrame:
+def map_texts(docs: DataFrame, kept: list[str], text: str, made: list[T.StructField], make: Callable[[list[str | None]], list[pa.Array]], operator: str = "") -> DataFrame:
     """kept's columns of all rows, and the columns that make gives for the texts of each slice."""
     own = docs.select(*quoted(*kept))
     if text in kept and own.schema[text].dataType == T.StringType():
@@ -112,6 +154,7 @@ def map_texts(docs: DataFrame, kept: list[str], text: str, made: list[T.StructFi
         rows, at = docs.select(*quoted(*kept), *[c.cast("string").alias(n) for c, n in zip(quoted(text), unused(own, "text"), strict=True)]), len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Remembered.begin(operator)
         for batch in slices(batches, at):
             columns = [*(batch.column(k) for k in range(len(kept))), *make(batch.column(at).to_pylist())]
             yield pa.RecordBatch.from_arrays(columns, [*kept, *(f.name for f in made)])

@@ -1,7 +1,7 @@
 """Language identification by multilingual mixtures.
 
 Model: for every learned language, smoothed log-probabilities of hashed character trigrams of lower-cased words, counted
-over all eligible rows. BUCKETS rows, one column a language: its size is bound by MAX_LANGUAGES, not by the corpus.
+over all eligible rows. BUCKETS numbers a language (128 KB), so its size is bound by the languages, not by the corpus.
 
 Inference, for each whole text: words are drawn from a mixture of the languages, a word's likelihood under each being
 its trigrams'. Expectation-maximisation gives the proportions over all languages; languages in descending proportion
@@ -12,8 +12,9 @@ Texts are handled CHARS characters at a time and EM runs for all documents of a
 by itself.
 
 Defined results: a null text or one without a letter is `und` with score 0.0, and so is every text if nothing could be
-learned; ties go to the language first in code-point order; rows without lang, and repeated rows, count as they stand;
-an empty table gives an empty result; extra columns are ignored.
+learned; ties go to the language first in code-point order; rows without lang teach nothing, and repeated rows count as
+they stand; more than MAX_LANGUAGES distinct values of lang (512 MB) are taken for a wrong column and refused; an empty
+table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import map_texts, quoted, slices, to_python, unused
+
 BUCKETS = 1 << 15
-MAX_LANGUAGES = 256
+MAX_LANGUAGES = 4_096
 SMOOTHING = 0.1
 ROUNDS = 12
 PENALTY = 2.0
 CHARS = 1 << 18
 UNKNOWN = "und"
+PREDICTED = ("__lang_pred", "__lang_score")
 _SPACE = np.uint32(32)
 
 
@@ -82,7 +86,7 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in slices(batches, 0):
         by_language: dict[str, list] = {}
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
             by_language.setdefault(lang.as_py(), []).append(text.as_py())
@@ -100,7 +104,7 @@ class Model:
         """counts: BUCKETS x languages."""
         self.languages = languages
         share = (counts + SMOOTHING) / (counts.sum(axis=0) + SMOOTHING * BUCKETS)
-        self.log_p = np.log(share).astype(np.float32)
+        self.log_p = np.ascontiguousarray(np.log(share).astype(np.float32).T)  # languages x BUCKETS
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
@@ -109,7 +113,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    counted = rows.mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = to_python(rows).mapInArrow(_counted, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     column, counts = {x: k for k, x in enumerate(languages)}, np.zeros((BUCKETS, len(languages)))
     for r in counted.toLocalIterator():
         counts[r["bucket"], column[r["lang"]]] = r["n"]
@@ -153,12 +157,11 @@ def _mixture(likelihood: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarray]:
     names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    columns = np.ascontiguousarray(model.log_p.T)
     for piece in _pieces(texts):
         buckets, first, words = trigrams([texts[i] for i in piece])
-        if not len(first) or not len(columns):
+        if not len(first) or not model.languages:
             continue
-        log_p = np.stack([np.add.reduceat(c[buckets], first) for c in columns])
+        log_p = np.stack([np.add.reduceat(c[buckets], first) for c in model.log_p])
         likelihood = np.maximum(np.exp(log_p - log_p.max(axis=0)), np.float32(1e-30))
         full = np.flatnonzero(words)
         chosen = _mixture(likelihood, words[full])
@@ -170,24 +173,26 @@ def identify(texts: list[str | None], model: Model) -> tuple[list[str], np.ndarr
 
 
 def predicted(docs: DataFrame, model: Model, text: str = "text", only: tuple[str, ...] | None = None) -> DataFrame:
-    """docs' columns (or only those named) with __lang_pred and __lang_score, all rows."""
-    shipped = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))
-    kept = docs.columns if only is None else list(only)
-    rows = docs.select(*kept, F.col(text).cast("string").alias("__text"))
+    """docs' columns (or only those named) with the prediction and its score: __lang_pred and __lang_score, with more underscores if docs has such."""
+    lang_pred, score = unused(docs, *PREDICTED)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model.__new__(Model)
-        known.languages, known.log_p = shipped.value
-        for batch in batches:
-            names, scores = identify(batch.column(len(kept)).to_pylist(), known)
-            columns = [*(batch.column(k) for k in range(len(kept))), pa.array(names, pa.string()), pa.array(scores)]
-            yield pa.RecordBatch.from_arrays(columns, [*kept, "__lang_pred", "__lang_score"])
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        names, scores = identify(texts, shipped.value)
+        return [pa.array(names, pa.string()), pa.array(scores)]
 
-    schema = T.StructType([*rows.select(*kept).schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    made = [T.StructField(lang_pred, T.StringType()), T.StructField(score, T.DoubleType())]
+    return map_texts(docs, list(docs.columns if only is None else only), text, made, make)
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, lang_pred, score) of all rows."""
-    out = predicted(docs, model, text, (doc_id,))
-    return out.select(F.col(doc_id).alias("doc_id"), F.col("__lang_pred").alias("lang_pred"), F.col("__lang_score").alias("score"))
+    out = predicted(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), model, only=("doc_id",))
+    return out.toDF("doc_id", "lang_pred", "score")
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose language is unknown; lang, where null, becomes the prediction."""
+    lang_pred, _ = unused(docs, *PREDICTED)
+    found = predicted(docs, model).filter(F.col(lang_pred) != UNKNOWN)
+    return found.withColumn("lang", F.coalesce(F.col("lang"), F.col(lang_pred))).select(*quoted(*docs.columns))

@@ -4,13 +4,14 @@ An Aho-Corasick automaton over the model's pieces reads a text once. At each pos
 that end there, longest first, and each relaxes the best score of that position (Viterbi over piece scores); a
 character that no piece of its own covers costs the model's unknown penalty and becomes its UTF-8 bytes. No piece has a
 space after another character, so a text falls into independent chunks, each a run of spaces and what follows; chunks
-are remembered, CACHE at most. Spaces are matched as spaces, so a literal U+2581 is encoded by its bytes and comes back.
+are remembered, some hundred thousand. Spaces are matched as spaces, so a literal U+2581 is encoded by its bytes and comes back.
 
 The model is a file on the driver; its pieces (bounded by the vocabulary) are broadcast.
 
 Defined results: a null or empty text has no pieces and decodes to ''; any other text decodes to itself, exactly; of
 equal scores the longest last piece wins; ids of control pieces decode to nothing; null ids decode to null; repeated rows
-are encoded as often as they stand; an empty table gives an empty result; other columns pass through unread.
+are encoded as often as they stand; an empty table gives an empty result; other columns pass through unread, under their
+own names unless they are called like the results.
 """
 
 from __future__ import annotations
@@ -24,15 +25,32 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import Remembered, map_texts, quoted, to_python
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 1 << 18
 CACHED_CHARS = 64
 UNKNOWN_PENALTY = 10.0
 NORMAL, BYTE, CONTROL, OTHER = "normal", "byte", "control", "unknown"
 _CHUNKS = re.compile(r" +[^ ]*")
 
 
+class _Chunks(Remembered):
+    LIMIT, OPERATOR = 1 << 17, "pieces"
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def release(self) -> None:
+        super().release()
+        _BUILT.clear()
+
+    def made(self, rest: str) -> bytes:
+        return np.array(self.codec.best_path(" " + rest), np.int32).tobytes()
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     pieces: tuple[str, ...]
@@ -63,7 +81,7 @@ class Codec:
                 self.byte_ids[int(p[3:5], 16)] = i
                 self.bytes_of[i] = bytes([int(p[3:5], 16)])
         self.by_chunk = not any(" " in p.lstrip(" ") for p, _, _ in normal)
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Chunks(self)
         self._build(normal)
 
     def _build(self, normal: list[tuple[str, float, int]]) -> None:
@@ -79,6 +97,8 @@ class Codec:
                         column.append(value)
                 state = self.goto[state][c]
             self.piece[state], self.score[state] = i, score
+        nothing: dict[str, int] = {}
+        self.goto = [g or nothing for g in self.goto]  # leaves share one
         queue = deque(self.goto[0].values())
         while queue:
             state = queue.popleft()
@@ -127,14 +147,7 @@ class Codec:
 
     def _chunk(self, rest: str) -> bytes:
         """Packed ids of a space and rest."""
-        found = self.cache.get(rest)
-        if found is None:
-            found = np.array(self.best_path(" " + rest), np.int32).tobytes()
-            if len(rest) <= CACHED_CHARS:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[rest] = found
-        return found
+        return self.cache[rest] if len(rest) <= CACHED_CHARS else self.cache.made(rest)
 
     def encode(self, text: str | None) -> bytes:
         """Ids as packed 32-bit integers. One space is put before the text, as the model was made."""
@@ -151,37 +164,41 @@ class Codec:
         return text[1:] if text.startswith(" ") else text
 
 
+_BUILT: list[tuple[Vocabulary, Codec]] = []
+
+
+def codec_of(vocabulary: Vocabulary) -> Codec:
+    """The last one built in this process, which tasks of a worker share, if it is of the same vocabulary."""
+    if not _BUILT or _BUILT[0][0] is not vocabulary:
+        _BUILT[:] = [(vocabulary, Codec(vocabulary))]
+    return _BUILT[0][1]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns of all rows, n_pieces, ids, and round_trip: whether decoding the ids gives the text again."""
     shipped = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shipped.value)
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            packed = [codec.encode(t) for t in texts]
-            ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
-            flat = np.frombuffer(b"".join(packed), np.int32)
-            same = [codec.decode(flat[a:b]) == (t or "") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
-            own = [batch.column(k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(ends)), lists, pa.array(same)], [*keep, "n_pieces", "ids", "round_trip"])
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        codec = codec_of(shipped.value)
+        packed = [codec.encode(t) for t in texts]
+        ends = np.cumsum([0, *(len(p) // 4 for p in packed)])
+        flat = np.frombuffer(b"".join(packed), np.int32)
+        same = [codec.decode(flat[a:b]) == (t or "") for t, a, b in zip(texts, ends[:-1], ends[1:], strict=True)]
+        return [pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat)), pa.array(same)]
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, n_pieces long, ids array<int>, round_trip boolean")
+    made = [T.StructField("n_pieces", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())]
+    return map_texts(docs, list(keep), text, made, make, "pieces")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep's columns of all rows and text."""
     shipped = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    rows = encoded.select(*keep, F.col(ids).alias("__ids"))
+    rows = to_python(encoded.select(*quoted(*keep), *quoted(ids)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shipped.value)
+        codec = codec_of(shipped.value)
         for batch in batches:
             texts = [None if x is None else codec.decode(np.array(x, np.int32)) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(keep))), pa.array(texts, pa.string())], [*keep, "text"])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.mapInArrow(run, f"{schema}, text string")
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields[: len(keep)], T.StructField("text", T.StringType())]))

@@ -10,12 +10,12 @@ Documents. The unit context vectors of a text's words and outlines are averaged,
 outlines' (their spread), with the logarithm of the word count.
 
 Network. One hidden layer of tanh, trained by Adam on SAMPLE labelled rows at most (those of the smallest id hashes; the
-one bounded step), then temperature scaling on every CALIBRATION-th of them, which the training didn't see.
+one bounded step; of several rows with one id the one of the smallest hash), then temperature scaling on every CALIBRATION-th of them, which the training didn't see.
 
 Defined results: a null, empty or blank text has the zero vector and gets its score like others; labels that are null
 are not used, of several for one doc_id the mean decides (0.5 and more is 1); without labels, or of one value only, the
-score is the share of ones (1.0 without any); repeated rows count as often as they stand; an empty table gives an empty
-result; extra columns are ignored.
+score is the share of ones (1.0 without any); repeated rows count as often as they stand in the vectors; an empty table
+gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder
+from .common import Remembered, id_remainder, map_texts, quoted, slices, to_python, unused
 
 WORDS, SHAPES, DIMENSIONS, NONZERO = 1 << 14, 1 << 10, 32, 2
 ROWS = WORDS + SHAPES
@@ -41,8 +41,9 @@ HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 256, 3e-3, 1e-4
 SAMPLE = 20_000
 CALIBRATION = 5
 THRESHOLD = 0.3
-#: Characters handled at once; a longer text is handled by itself.
-CONTEXT_CHARS, POOL_CHARS = 1 << 22, 1 << 17
+SCORE = "__score"
+#: Characters pooled at once; a longer text is pooled by itself.
+POOL_CHARS = 1 << 17
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DIGITS = re.compile(r"\d+")
 _RUNS = re.compile(r"(.)\1+")
@@ -53,32 +54,32 @@ def outline(word: str) -> str:
     return _RUNS.sub(r"\1", _DIGITS.sub("9", word))[:12]
 
 
-class _Codes(dict):
-    """word -> its row times SHAPES plus its outline's row. LIMIT words are remembered; then it starts over, and frequent words are back soon."""
+class _Codes(Remembered):
+    """word -> its row times SHAPES plus its outline's row."""
 
-    LIMIT = 1 << 18
+    OPERATOR = "quality"
 
     def __init__(self) -> None:
-        self.shapes: dict[str, int] = {}
+        super().__init__()
+        self.shapes = _Shapes()
 
-    def _shape(self, shape: str) -> int:
-        found = self.shapes.get(shape)
-        if found is None:
-            found = 1 + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1)
-            if len(self.shapes) < self.LIMIT:
-                self.shapes[shape] = found
-        return found
-
-    def __missing__(self, word: str) -> int:
+    def made(self, word: str) -> int:
         body, last = (word, "") if word.isalpha() else (word[:-1], word[-1])
         # Letters, or letters and one mark, are most words; the others take the general way.
         plain = body.isalpha() and not last.isalnum() and last != "_"
         shape = ("X" if len(body) > 1 and body.isupper() else "x") + last if plain else outline(word)
-        code = xxhash.xxh3_64_intdigest(word.lower()) % WORDS * SHAPES + self._shape(shape)
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = code
-        return code
+        return xxhash.xxh3_64_intdigest(word.lower()) % WORDS * SHAPES + self.shapes[shape]
+
+
+class _Shapes(Remembered):
+    LIMIT, OPERATOR = 1 << 12, "quality"
+
+    def made(self, shape: str) -> int:
+        return 1 + xxhash.xxh3_64_intdigest(shape) % (SHAPES - 1)
+
+
+#: One for each worker process, which its tasks share.
+_CODES = _Codes()
 
 
 def _index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -111,22 +112,21 @@ def _pieces(texts: list[str | None], chars: int) -> Iterator[slice]:
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes, (places, signs) = _Codes(), _index_vectors()
+    Remembered.begin("quality")
+    places, signs = _index_vectors()
     # Words: counts of (word, entry, sign) of the neighbours. Outlines are few: counts of neighbouring pairs, multiplied out at the end.
     cell = places * 2 + (signs > 0)
     counts_of, pairs = np.zeros(WORDS * DIMENSIONS * 2, np.int64), np.zeros(SHAPES * SHAPES, np.int64)
-    for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for piece in _pieces(texts, CONTEXT_CHARS):
-            word, shape, counts = rows_of(texts[piece], codes)
-            ends = np.cumsum(counts)
-            joined = np.ones(max(len(word) - 1, 0), bool)
-            joined[ends[(ends > 0) & (ends < len(word))] - 1] = False
-            left, right = word[:-1][joined], word[1:][joined]
-            for me, other in ((left, right), (right, left)):
-                for k in range(NONZERO):
-                    counts_of += np.bincount(me * (2 * DIMENSIONS) + cell[other, k], minlength=len(counts_of))
-            pairs += np.bincount(shape[:-1][joined] * SHAPES + shape[1:][joined], minlength=len(pairs))
+    for batch in slices(batches, 0):
+        word, shape, counts = rows_of(batch.column(0).to_pylist(), _CODES)
+        ends = np.cumsum(counts)
+        joined = np.ones(max(len(word) - 1, 0), bool)
+        joined[ends[(ends > 0) & (ends < len(word))] - 1] = False
+        left, right = word[:-1][joined], word[1:][joined]
+        for me, other in ((left, right), (right, left)):
+            for k in range(NONZERO):
+                counts_of += np.bincount(me * (2 * DIMENSIONS) + cell[other, k], minlength=len(counts_of))
+        pairs += np.bincount(shape[:-1][joined] * SHAPES + shape[1:][joined], minlength=len(pairs))
     split = counts_of.reshape(WORDS, DIMENSIONS, 2)
     index, square = np.zeros((SHAPES, DIMENSIONS), np.int64), pairs.reshape(SHAPES, SHAPES)
     np.put_along_axis(index, places[WORDS:], signs[WORDS:].astype(np.int64), axis=1)
@@ -138,7 +138,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Unit context vectors, ROWS x DIMENSIONS, from all rows of docs. Tasks send at most ROWS partial sums each."""
     names = [f"c{k}" for k in range(DIMENSIONS)]
-    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_contexts, "row int, " + ", ".join(f"{c} long" for c in names))
+    partial = to_python(docs.select(F.col(text).cast("string").alias("text"))).mapInArrow(_contexts, "row int, " + ", ".join(f"{c} long" for c in names))
     table = np.zeros((ROWS, DIMENSIONS), np.float32)
     for r in partial.groupBy("row").agg(*[F.sum(c).alias(c) for c in names]).toLocalIterator():
         v = np.array(r[1:], float)
@@ -179,6 +179,14 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -60, 60)))
 
 
+def gradients(w1: np.ndarray, b1: np.ndarray, w2: np.ndarray, b2: float, x: np.ndarray, y: np.ndarray) -> list:
+    """Of the mean logistic loss and DECAY / 2 times the weights' squares, by w1, b1, w2 and b2."""
+    h = np.tanh(x @ w1 + b1)
+    error = (1 / (1 + np.exp(-np.clip(h @ w2 + b2, -60, 60))) - y) / len(y)
+    back = error[:, None] * w2 * (1 - h * h)
+    return [x.T @ back + DECAY * w1, back.sum(axis=0), h.T @ error + DECAY * w2, error.sum()]
+
+
 def train(x: np.ndarray, y: np.ndarray) -> Network:
     """x and y in a fixed order: the result depends on nothing else."""
     x, y = x.astype(float), y.astype(float)
@@ -195,13 +203,9 @@ def train(x: np.ndarray, y: np.ndarray) -> Network:
         order = rng.permutation(len(ys))
         for i in range(0, len(order), BATCH):
             xb, yb = xs[order[i : i + BATCH]], ys[order[i : i + BATCH]]
-            h = np.tanh(xb @ net.w1 + net.b1)
-            error = (1 / (1 + np.exp(-np.clip(h @ net.w2 + net.b2, -60, 60))) - yb) / len(yb)
-            back = error[:, None] * net.w2 * (1 - h * h)
-            grads = [xb.T @ back + DECAY * net.w1, back.sum(axis=0), h.T @ error + DECAY * net.w2, error.sum()]
             step += 1
             values = [net.w1, net.b1, net.w2, net.b2]
-            for k, g in enumerate(grads):
+            for k, g in enumerate(gradients(*values, xb, yb)):
                 m, v = 0.9 * state[k][0] + 0.1 * g, 0.999 * state[k][1] + 0.001 * g * g
                 state[k] = m, v
                 values[k] = values[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -224,37 +228,35 @@ def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Network]:
     vectors = word_vectors(docs)
     shipped = docs.sparkSession.sparkContext.broadcast(vectors)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = _Codes()
-        for batch in batches:
-            x = pooled(batch.column("text").to_pylist(), shipped.value, codes)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
-
-    chosen = sample(docs, labels)
-    rows = chosen.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int, x binary").limit(4 * SAMPLE).collect()
-    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[1], r[2]))
+    make = lambda texts: [pa.array([r.tobytes() for r in pooled(texts, shipped.value, _CODES)], pa.binary())]
+    rows = map_texts(sample(docs, labels), ["doc_id", "label"], "text", [T.StructField("x", T.BinaryType())], make, "quality")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("x").alias("h"), "x", "label")).alias("r")).select("doc_id", "r.label", "r.x").collect()
+    shipped.destroy()
+    rows.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r[0]))
     x = np.array([np.frombuffer(r[2], np.float32) for r in rows]) if rows else np.zeros((0, 3 * DIMENSIONS + 1))
     return vectors, train(x, np.array([r[1] for r in rows]))
 
 
 def scored(docs: DataFrame, vectors: np.ndarray, network: Network, only: tuple[str, ...] | None = None) -> DataFrame:
-    """docs' columns (or only those named) with __score, all rows."""
+    """docs' columns (or only those named) with the score, all rows: __score, with more underscores if docs has such."""
+    [score] = unused(docs, SCORE)
     shipped = docs.sparkSession.sparkContext.broadcast((vectors, network))
-    kept = docs.columns if only is None else list(only)
-    rows = docs.select(*kept, F.col("text").cast("string").alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, (table, net) = _Codes(), shipped.value
-        for batch in batches:
-            p = net.probabilities(pooled(batch.column(len(kept)).to_pylist(), table, codes))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(kept))), pa.array(p)], [*kept, "__score"])
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        table, net = shipped.value
+        return [pa.array(net.probabilities(pooled(texts, table, _CODES)))]
+
+    return map_texts(docs, list(docs.columns if only is None else only), "text", [T.StructField(score, T.DoubleType())], make, "quality")
+
 
-    return rows.mapInArrow(run, T.StructType([*rows.select(*kept).schema.fields, T.StructField("__score", T.DoubleType())]))
+def accepted(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
+    """docs without the rows that score below THRESHOLD."""
+    [score] = unused(docs, SCORE)
+    return scored(docs, vectors, network).filter(F.col(score) >= THRESHOLD).select(*quoted(*docs.columns))
 
 
 def assess(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of all rows of docs."""
-    found = scored(docs, *fit(docs, labels), only=("doc_id",))
-    p = F.col("__score")
+    found = scored(docs, *fit(docs, labels), only=("doc_id",)).toDF("doc_id", "score")
+    p = F.col("score")
     return found.select("doc_id", (id_remainder("doc_id", 5) == 0).alias("held_out"), p.alias("score"), (p >= THRESHOLD).cast("int").alias("predicted"))

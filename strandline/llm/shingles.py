@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import Remembered
+
 WORDS_PER_SHINGLE = 5
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -18,19 +20,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHashes(dict):
-    """Hash of each word; remembers LIMIT words at most."""
+class WordHashes(Remembered):
+    OPERATOR = "shingles"
+
+    def made(self, word: bytes) -> int:
+        return xxhash.xxh3_64_intdigest(word)
 
-    LIMIT = 1 << 18
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = h
-        return h
+#: One for each worker process, which its tasks share.
+HASHES = WordHashes()
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
+def shingle_set(text: bytes | None, hashes: WordHashes = HASHES) -> np.ndarray:
     """Distinct shingles of a UTF-8 text: A-Z lower-cased, words between ASCII white space. Fewer than five words are one shingle; none, no shingle."""
     words = text.lower().split() if text else []
     if not words:

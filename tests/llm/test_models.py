@@ -1,5 +1,6 @@
 """Near-duplicates, language, quality, pieces, neighbours and archives against brute force."""
 
+import itertools
 import random
 import re
 from collections import Counter
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.llm import components, langid, neardup, neighbours, pieces, quality, shingles, warc
+from strandline.llm import common, components, langid, neardup, neighbours, pieces, quality, shingles, warc
 from tests.llm.conftest import words
 
 
@@ -149,6 +150,41 @@ def test_languages_and_mixtures(spark, odd_docs, no_docs):
     assert langid.predicted(odd_docs, model).columns == [*odd_docs.columns, "__lang_pred", "__lang_score"]
 
 
+def plain_em(likelihood, members, rounds):
+    """(proportions, log-likelihood) of one document's mixture of the member languages, word by word."""
+    theta = {k: 1 / len(members) for k in members}
+    columns = likelihood.T.tolist()
+    for _ in range(rounds):
+        share = dict.fromkeys(members, 0.0)
+        for w in columns:
+            total = sum(theta[k] * w[k] for k in members)
+            for k in members:
+                share[k] += theta[k] * w[k] / total
+        theta = {k: v / len(columns) for k, v in share.items()}
+    return theta, sum(np.log(sum(theta[k] * w[k] for k in members)) for w in columns)
+
+
+def test_mixtures_equal_plain_em_over_every_language_set(spark):
+    rng = random.Random(20)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop", "dd": "xyzabxyz"}
+    model = langid.fit(spark.createDataFrame([(tongue(rng, letters[k], 60), k) for k in letters for _ in range(20)], "text string, lang string"))
+    texts = [" ".join(tongue(rng, letters[k], n) for k, n in rng.choice([[("aa", 12)], [("bb", 40)], [("aa", 30), ("cc", 25)], [("dd", 9), ("bb", 9)], [("aa", 30), ("bb", 30), ("cc", 30)]])) for _ in range(40)]
+    names, scores = langid.identify(texts, model)
+    same = 0
+    for text, name, score in zip(texts, names, scores, strict=True):
+        buckets, first, words_of = langid.trigrams([text])
+        log_p = np.stack([np.add.reduceat(c[buckets], first) for c in model.log_p]).astype(float)
+        likelihood = np.maximum(np.exp(log_p - log_p.max(axis=0)), 1e-30)
+        price = langid.PENALTY * np.log(words_of[0] + 1) / 2
+        every = [m for size in range(1, 5) for m in itertools.combinations(range(4), size)]
+        fits = {m: plain_em(likelihood, m, langid.ROUNDS) for m in every}
+        best = max(every, key=lambda m: (fits[m][1] - len(m) * price, -len(m)))
+        theta = fits[best][0]
+        top = min(theta, key=lambda k: (-theta[k], k))
+        same += (model.languages[top], round(theta[top], 3)) == (name, round(float(score), 3))
+    assert same >= 39  # nested sets may miss the best set, once
+
+
 def test_trigram_counts_equal_plain_python():
     text = "  Ab éX-9z a\n"
     buckets, first, counts = langid.trigrams([text, "", "q"])
@@ -178,6 +214,92 @@ def test_quality_separates_and_calibrates(spark, odd_docs, no_docs):
     assert {r["score"] for r in quality.assess(odd_docs, lab.limit(0)).collect()} == {1.0}
 
 
+def test_word_vectors_and_pooling_equal_plain_python(spark, odd_docs):
+    import xxhash
+
+    texts = [r["text"] for r in odd_docs.collect()]
+    places, signs = quality._index_vectors()
+    index = np.zeros((quality.ROWS, quality.DIMENSIONS))
+    for row in range(quality.ROWS):
+        for p, s in zip(places[row], signs[row], strict=True):
+            index[row, p] = s
+
+    def rows(text):
+        words_of = (text or "").split()
+        word = [xxhash.xxh3_64_intdigest(w.lower()) % quality.WORDS for w in words_of]
+        shape = [1 + xxhash.xxh3_64_intdigest(quality.outline(w)) % (quality.SHAPES - 1) for w in words_of]
+        return word, [quality.REPEATED if k and word[k] == word[k - 1] else s for k, s in enumerate(shape)]
+
+    total = np.zeros((quality.ROWS, quality.DIMENSIONS))
+    for text in texts:
+        word, shape = rows(text)
+        for k in range(len(word)):
+            for j in (k - 1, k + 1):
+                if 0 <= j < len(word):
+                    total[word[k]] += index[word[j]]
+                    total[quality.WORDS + shape[k]] += index[quality.WORDS + shape[j]]
+    norm = np.linalg.norm(total, axis=1, keepdims=True)
+    expected = np.where(norm > 0, total / np.maximum(norm, 1e-9), 0)
+    vectors = quality.word_vectors(odd_docs)
+    np.testing.assert_allclose(vectors, expected, atol=1e-6)
+
+    got = quality.pooled(texts, vectors, quality._Codes())
+    for text, x in zip(texts, got, strict=True):
+        word, shape = rows(text)
+        if not word:
+            assert not x.any()
+            continue
+        outlines = np.array([vectors[quality.WORDS + s] for s in shape], float)
+        plain = [np.mean([vectors[w] for w in word], axis=0), outlines.mean(axis=0), (outlines**2).mean(axis=0), [np.log1p(len(word))]]
+        np.testing.assert_allclose(x, np.concatenate(plain), atol=2e-4)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(21)
+    x, y = rng.normal(size=(30, 5)), rng.integers(0, 2, 30).astype(float)
+    values = [rng.normal(size=(5, 4)), rng.normal(size=4), rng.normal(size=4), np.array(0.3)]
+
+    def loss(w1, b1, w2, b2):
+        z = np.tanh(x @ w1 + b1) @ w2 + b2
+        return np.mean(np.logaddexp(0, z) - y * z) + quality.DECAY / 2 * ((w1**2).sum() + (w2**2).sum())
+
+    for k, g in enumerate(quality.gradients(*values, x, y)):
+        numeric = np.zeros_like(values[k])
+        for at in np.ndindex(values[k].shape):
+            up, down = ([v.copy() for v in values] for _ in range(2))
+            up[k][at] += 1e-6
+            down[k][at] -= 1e-6
+            numeric[at] = (loss(*up) - loss(*down)) / 2e-6
+        np.testing.assert_allclose(g, numeric, atol=1e-7)
+
+
+CLASH = ["__text", "__score", "__lang_pred", "__lang_score", "__h", "__kept", "__k1", "__k2", "__alone", "__row", "k1", "row", "alone", "text_", "lang_pred"]
+
+
+def test_clashing_columns_pass_through(spark, vocabulary):
+    rng = random.Random(22)
+    rows = [(i, " ".join(words(rng, 30)), "en", "a", *[f"{c} {i}" for c in CLASH]) for i in range(30)]
+    docs = spark.createDataFrame([*rows, rows[3]], "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASH))
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).distinct()
+    every = Counter(map(tuple, docs.collect()))
+    for out in (quality.accepted(docs, *quality.fit(docs, labels)), langid.identified(docs, langid.fit(docs))):
+        assert out.columns == docs.columns and Counter(map(tuple, out.collect())) == every
+    kept = neardup.deduplicated(docs)
+    assert kept.columns == docs.columns and set(map(tuple, kept.collect())) == set(rows) and kept.count() == 30
+    assert quality.scored(docs, *quality.fit(docs, labels)).columns == [*docs.columns, "___score"]
+    out = pieces.encode(docs, vocabulary, keep=("doc_id", "__text"))
+    assert {(r["doc_id"], r["__text"]) for r in out.collect()} == {(r[0], r[4]) for r in rows}
+
+
+def test_slices_hold_every_row(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(common, "BATCH_BYTES", 10)
+    texts = ["a" * 3, None, "b" * 50, "", "c" * 4, "d" * 4, "é" * 3, None]
+    got = list(common.slices(iter([pa.RecordBatch.from_pydict({"i": list(range(8)), "t": texts}), pa.RecordBatch.from_pydict({"i": pa.array([], pa.int64()), "t": pa.array([], pa.string())})]), 1))
+    assert [x for b in got for x in b.column(1).to_pylist()] == texts and len(got) > 3
+
+
 def test_held_out_labels_are_not_used(spark):
     rng = random.Random(12)
     d = spark.createDataFrame([(i, " ".join(words(rng, 20))) for i in range(100)], "doc_id long, text string")
@@ -265,6 +387,35 @@ def test_neighbours_reach_recall(spark, monkeypatch, cells):
     assert [i for i, _ in got[20]] == sorted(i for i in range(300) if i != 20)[:20]  # ties: smaller ids
 
 
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_beyond_the_sample(spark, monkeypatch, clustered):
+    """The index, not the sample, decides: 8,000 vectors, of which 1,000 are in the sample."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1000)
+    monkeypatch.setattr(neighbours, "VECTORS_PER_CELL", 250)
+    monkeypatch.setattr(neighbours, "BLOCK", 1000)
+    rng = np.random.default_rng(17)
+    x = rng.normal(size=(8000, 64)) + (2 * rng.normal(size=(30, 64))[rng.integers(0, 30, 8000)] if clustered else 0)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    exact = nearest_in_numpy(x, list(range(8000)), range(0, 8000, 20), 20)
+    recall = sum(len(got[q] & {i for i, _ in exact[q]}) for q in exact) / (20 * len(exact))
+    print(f"recall beyond the sample, clustered {clustered}: {recall:.4f}")
+    assert set(got) == set(exact) and recall >= 0.95
+
+
+def test_counted_bits_estimate_as_a_product_would():
+    rng = np.random.default_rng(18)
+    x, q = rng.normal(size=(300, 100)), rng.normal(size=(20, 100))
+    rotation = np.linalg.qr(rng.normal(size=(100, 100)))[0]
+    codes = neighbours.Codes.of(x, np.zeros(100), rotation)
+    signs = np.where(x @ rotation > 0, 1.0, -1.0)
+    upper, error = codes.bounds(q, np.zeros(100), rotation)
+    plain = (q @ rotation) @ signs.T * codes.factor
+    assert codes.bits.shape == (300, 2) and np.abs(upper - error - plain).max() < 0.15 * np.abs(plain).max()
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [1.0, 0.0]), (9, [1.0, 0.0])]
@@ -278,7 +429,7 @@ def test_error_bounds_hold():
     rng = np.random.default_rng(16)
     x, q = rng.normal(size=(500, 64)), rng.normal(size=(50, 64))
     rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
-    upper, error = neighbours.Codes(x, x.mean(axis=0), rotation).bounds(q, x.mean(axis=0), rotation)
+    upper, error = neighbours.Codes.of(x, x.mean(axis=0), rotation).bounds(q, x.mean(axis=0), rotation)
     assert (q @ x.T <= upper + 1e-3).mean() > 0.985
     assert abs((upper - error - q @ x.T).mean()) < 0.05 * np.abs(q @ x.T).mean()
 
@@ -325,3 +476,37 @@ def test_release_deletes_what_was_written(spark):
     assert df.count() == 10 and folder.exists()
     common.release(spark)
     assert not folder.exists() and common._FOLDERS == []
+
+
+def test_records_of_one_id_and_urls_with_line_breaks(spark):
+    from strandline.llm.common import new_folder
+
+    rows = [(1, "http://a/\r\nX-Evil: 1", "one"), (1, "http://b", "two"), (2, None, "one"), (2, None, "one")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = new_folder(spark, "warc")
+    out = warc.read(warc.write(df, folder), folder).collect()
+    assert Counter((r["page_id"], r["url"]) for r in out) == Counter((i, u) for i, u, _ in rows)
+    assert {r["refers_to"] for r in out if r["record_type"] == "revisit"} == {2}
+    a = warc.record(1, None, b"one", warc.digest(b"one"), 2, True)
+    b = warc.record(2, None, b"one", warc.digest(b"one"), 2, False)
+    assert warc.parse(a)[0]["WARC-Refers-To"] == warc.parse(b)[0]["WARC-Record-ID"] != warc.parse(warc.record(2, None, b"x", warc.digest(b"x"), None, False))[0]["WARC-Record-ID"]
+
+
+def test_remembered_keys_are_bounded_and_released():
+    class Squares(common.Remembered):
+        LIMIT, OPERATOR = 10, "squares"
+        asked = 0
+
+        def made(self, key):
+            self.asked += 1
+            return key * key
+
+    s = Squares()
+    for k in range(1000):
+        assert s[k % 3] == (k % 3) ** 2 and s[k] == k * k
+        assert len(s) + len(s.older) <= 20
+    assert s.asked < 1100  # the three in use are hardly ever made again
+    common.Remembered.begin("squares")
+    assert s
+    common.Remembered.begin("other")
+    assert not s and not s.older
