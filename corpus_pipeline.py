@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from strandline.llm import common, langid, mixing, neardup, pieces, quality
 
@@ -14,15 +13,13 @@ ORACLE_SQL = None
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without an identifiable language: null texts and those without a letter. lang, where null, becomes the prediction."""
     held_out = common.id_remainder("doc_id", 4) == 2
-    found = langid.predicted(docs, langid.fit(docs.filter(~held_out)))
-    found = found.filter(F.col("__lang_pred") != langid.UNKNOWN).withColumn("lang", F.coalesce("lang", "__lang_pred"))
-    return found.select(*docs.columns)
+    return langid.identified(docs, langid.fit(docs.filter(~held_out)))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the classifier scores below its threshold."""
     model = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.scored(docs, *model).filter(F.col("__score") >= quality.THRESHOLD).select(*docs.columns)
+    return quality.accepted(docs, *model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,6 +48,8 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    began = common.folders()
     for name, stage in STAGES:
         docs = common.materialize(stage(spark, docs, sf_dir), "stage-" + name.split()[0].lower())
+        common.release(spark, began, common.folders() - 1)  # what the stage wrote on its way, and the table it read
     return docs
