@@ -46,6 +46,14 @@ def _matrix(table: pa.Table, d: int) -> tuple[np.ndarray, np.ndarray]:
     return table.column("label").to_numpy(), values.astype(float).reshape(table.num_rows, d)
 
 
+def head(rows: DataFrame, label: Column, d: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Labels and values of rows of SMALL_BYTES at most, and whether these are all."""
+    most = max(1, SMALL_BYTES // (8 * d))
+    with _plain_code(rows, d):
+        held = rows.select(label.cast("int").alias("label"), "v").limit(most + 1).toArrow()
+    return *_matrix(held, d), held.num_rows <= most
+
+
 def _chunks(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(label of each row, rows x d with NaN for NULL), CHUNK_BYTES at most at once."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -76,12 +84,9 @@ def summed(rows: DataFrame, label: Column, d: int, tiles: int, partial: Callable
     def batch(out: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(types)], names)
 
-    most = max(1, SMALL_BYTES // (8 * d))
-    with _plain_code(rows, d):
-        held = rows.limit(most + 1).toArrow()
-    labels, x = _matrix(held, d)
+    labels, x, whole = head(rows, F.col("label"), d)
     shift = _first(x)
-    if len(x) <= most:
+    if whole:
         shipped = spark.sparkContext.broadcast((labels, x - shift))
 
         def made_of_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -222,8 +222,56 @@ def prune(panel: DataFrame, families: Mapping[str, Iterable[str]], limits: Thres
     return out
 
 
+def average_ranks(values: np.ndarray) -> np.ndarray:
+    """Ranks from 1, those of equal values averaged."""
+    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
+    return (np.cumsum(counts) - (counts - 1) / 2)[inverse]
+
+
 def spearman_distance(panel: DataFrame, families: Mapping[str, Iterable[str]]) -> DataFrame:
-    """(left, right, distance, support): 1 - |Pearson of average ranks| over pairwise-complete rows."""
+    """(left, right, distance, support): 1 - |Pearson of average ranks| over pairwise-complete rows.
+
+    A panel of blocks.SMALL_BYTES at most, which is checked, is broadcast; a task takes the pairs of a feature, and ranks again only for pairs
+    with NULL. Of a larger one every pair is ranked by a window.
+    """
+    names = {name: list(fs) for name, fs in families.items()}
+    features = list(dict.fromkeys(f for fs in names.values() for f in fs))
+    _, x, whole = blocks.head(blocks.packed(panel, features), F.lit(0), len(features))
+    if not whole:
+        return _spearman_by_windows(panel, families)
+    at = {f: k for k, f in enumerate(features)}
+    jobs = [(f, fs[k + 1 :]) for fs in names.values() for k, f in enumerate(fs[:-1])]
+    spark = panel.sparkSession
+    shipped = spark.sparkContext.broadcast(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x = shipped.value
+        there = np.isfinite(x)
+        once: dict[int, np.ndarray] = {}
+        for batch in batches:
+            out = []
+            for left, rest in (jobs[k] for k in batch.column(0).to_pylist()):
+                i = at[left]
+                for right in rest:
+                    j = at[right]
+                    both = there[:, i] & there[:, j]
+                    n = int(both.sum())
+                    if not n:
+                        continue
+                    if n == len(x):
+                        u, v = (once.setdefault(c, average_ranks(x[:, c])) if c not in once else once[c] for c in (i, j))
+                    else:
+                        u, v = average_ranks(x[both, i]), average_ranks(x[both, j])
+                    u, v = u - u.mean(), v - v.mean()
+                    scale = float(np.sqrt((u @ u) * (v @ v)))
+                    out.append((left, right, None if n < 2 or not scale else 1 - abs(float(u @ v)) / scale, n))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), pa.string(), pa.float64(), pa.int64()))], ["left", "right", "distance", "support"])
+
+    tasks = spark.range(0, len(jobs), 1, max(1, min(len(jobs), 2 * spark.sparkContext.defaultParallelism)))
+    return tasks.mapInArrow(run, "`left` string, `right` string, distance double, support long")
+
+
+def _spearman_by_windows(panel: DataFrame, families: Mapping[str, Iterable[str]]) -> DataFrame:
     rows = pairs(panel, families)
 
     def average_rank(c: str) -> Column:

@@ -288,3 +288,20 @@ def test_families_are_projected_in_one_pass(spark, monkeypatch, small):
     assert pca.PCA.from_dict(found["a"].to_dict()) == found["a"]
     with pytest.raises(pca.StatisticallyInvalid):
         pca.fit_families(df, {"flat": ["f0", "f6"]}, strict=True)
+
+
+def test_spearman_of_a_broadcast_panel_equals_windows(spark, monkeypatch):
+    rng = np.random.default_rng(35)
+    x = np.round(rng.normal(size=(80, 5)), 1)  # ties
+    x[rng.random((80, 5)) < 0.1] = np.nan
+    x[:, 0], x[:, 1] = np.round(rng.normal(size=80), 1), np.round(rng.normal(size=80), 1)  # complete
+    x[:, 4] = 2.0
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"f{k} double" for k in range(5)))
+    families = {"one": ["f0", "f1", "f2"], "two": ["f3", "f4"]}
+    found = []
+    for small in (1 << 20, 0):
+        monkeypatch.setattr(blocks, "SMALL_BYTES", small)
+        found.append({(r["left"], r["right"]): (r["distance"], r["support"]) for r in correlation.spearman_distance(df, families).collect()})
+    assert set(found[0]) == {("f0", "f1"), ("f0", "f2"), ("f1", "f2"), ("f3", "f4")} == set(found[1])
+    for k, (distance, n) in found[0].items():
+        assert n == found[1][k][1] and (distance is None) == (found[1][k][0] is None) and (distance is None or distance == pytest.approx(found[1][k][0], abs=1e-12))
