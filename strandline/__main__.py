@@ -1,4 +1,4 @@
-"""python -m strandline evaluate|refit|cycle|publish-oos|register|promote|rollback|status: the operations over a Parquet panel and a registry folder."""
+"""python -m strandline evaluate|refit|cycle|publish-oos|register|publish-package|promote|rollback|status: the operations over a Parquet panel and a registry folder."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ WITH_PANEL = ("evaluate", "refit", "cycle", "publish-oos", "register")
 def _parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="strandline")
     sub = p.add_subparsers(dest="action", required=True)
-    for name in (*WITH_PANEL, "promote", "rollback", "status"):
+    for name in (*WITH_PANEL, "publish-package", "promote", "rollback", "status"):
         s = sub.add_parser(name)
         s.add_argument("--profile", required=True, help="the model's name")
         s.add_argument("--registry", required=True)
@@ -36,6 +36,8 @@ def _parser() -> argparse.ArgumentParser:
             s.add_argument("--tracking", help="folder of the tracking tables")
         if name in ("cycle", "publish-oos"):
             s.add_argument("--builds", required=True)
+        if name == "publish-package":
+            s.add_argument("--package", required=True)
         if name == "promote":
             s.add_argument("--version", type=int, required=True)
             s.add_argument("--expected", type=int)
@@ -77,6 +79,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.action == "promote":
         registry.move_alias(a.profile, "champion", a.expected, a.version, a.actor)
         return 0
+    if a.action == "publish-package":
+        print(json.dumps({"version": registry.publish(a.profile, a.package)}))
+        return 0
     if a.action == "rollback":
         print(json.dumps({"champion": registry.rollback(a.profile, "champion", a.actor)}))
         return 0
@@ -113,7 +118,7 @@ def _with_panel(a: argparse.Namespace, registry: Registry) -> int:
         if a.action == "publish-oos":
             print(json.dumps({"build": cycle.publish_oos(spark, panel, state["results"], a.builds, a.profile, source)}))
         else:
-            print(json.dumps({"version": cycle.deploy(spark, panel, valid[-1], settings, registry, a.profile, source, refit.MIN_REFIT_ROWS)}))
+            print(json.dumps({"version": cycle.deploy(spark, panel, valid[-1], settings, registry, a.profile, source, refit.MIN_REFIT_ROWS, tracking=tracking)}))
     else:
         r = refit.final_refit(spark, panel, list(settings.core), settings.state_counts[0])
         pack = package(r["model"], r["features"], r["scaler"], r["trained_through"].isoformat(), r["alpha"], {"data_sha256": source, "rows": r["rows"]})

@@ -33,11 +33,15 @@ def publish_oos(spark: SparkSession, panel: DataFrame, results: list[refit.FoldR
     return build
 
 
-def deploy(spark: SparkSession, panel: DataFrame, newest: refit.FoldResult, settings: refit.Settings, registry: Registry, name: str, source: str, min_rows: int, time: str = "ts") -> int:
-    """Refits exactly what the newest valid fold selected, its components included, and registers it."""
+def deploy(spark: SparkSession, panel: DataFrame, newest: refit.FoldResult, settings: refit.Settings, registry: Registry, name: str, source: str, min_rows: int, time: str = "ts", tracking=None) -> int:
+    """Refits exactly what the newest valid fold selected, its components included, and registers it. With tracking, package and version are one run's."""
     found = refit.final_refit(spark, panel, list(newest.selected), newest.states, newest.family, seeds=settings.seeds, min_rows=min_rows, time=time, fits=newest.fits)
     facts = {"data_sha256": source, "evaluation": newest.package, "profile_hash": settings.profile_hash}
-    return registry.register(name, package(found["model"], found["features"], found["scaler"], found["trained_through"].isoformat(), found["alpha"], facts, found["pca"]))
+    pack = package(found["model"], found["features"], found["scaler"], found["trained_through"].isoformat(), found["alpha"], facts, found["pca"])
+    version = registry.register(name, pack)
+    if tracking is not None:
+        tracking.log("deploy", name, {"version": version, "package_hash": pack["package_hash"], "fold": newest.fold_id}, {"rows": float(found["rows"])}, {"package.json": pack})
+    return version
 
 
 def run_cycle(spark: SparkSession, panel: DataFrame, settings: refit.Settings, registry: Registry, name: str, builds: str, last_folds: int | None = None, min_rows: int = refit.MIN_REFIT_ROWS, time: str = "ts", store=None, tracking=None) -> Outcome:
@@ -50,5 +54,5 @@ def run_cycle(spark: SparkSession, panel: DataFrame, settings: refit.Settings, r
     if not valid:
         return Outcome(True, results=refit.result_hash(results))
     build = publish_oos(spark, panel, results, builds, name, source, time)
-    version = deploy(spark, panel, valid[-1], settings, registry, name, source, min_rows, time)
+    version = deploy(spark, panel, valid[-1], settings, registry, name, source, min_rows, time, tracking)
     return Outcome(True, version, build, len(valid), refit.result_hash(results))

@@ -33,7 +33,7 @@ def _hex(value):
 
 def _unhex(value):
     if isinstance(value, dict):
-        return float.fromhex(value["x"]) if set(value) == {"x"} else {k: _unhex(v) for k, v in value.items()}
+        return float.fromhex(value["x"]) if set(value) == {"x"} and isinstance(value["x"], str) else {k: _unhex(v) for k, v in value.items()}
     return [_unhex(v) for v in value] if isinstance(value, list) else value
 
 
@@ -44,6 +44,15 @@ def package(model: HMM, features: list[str], scaler: dict[str, tuple[float, floa
     return body | {"package_hash": hashlib.sha256(text.encode()).hexdigest()}
 
 
+def read_package(path: Path) -> dict:
+    """A package file, if its content has its hash."""
+    pack = _unhex(json.loads(path.read_text()))
+    body = {k: v for k, v in pack.items() if k != "package_hash"}
+    if hashlib.sha256(json.dumps(_hex(body), sort_keys=True, separators=(",", ":")).encode()).hexdigest() != pack.get("package_hash"):
+        raise ValueError("a package doesn't have its hash")
+    return pack
+
+
 @contextmanager
 def locked(lock: Path, wait_s: float = 0.0, stale_s: float = STALE_CYCLE_S):
     """A file that one process holds. One that a crash left is taken over once it is stale_s old, since its holder renews nothing for so long."""
@@ -105,11 +114,11 @@ class Registry:
             return version
 
     def load(self, name: str, version: int) -> dict:
-        pack = _unhex(json.loads((self.root / "models" / name / f"{version}.json").read_text()))
-        body = {k: v for k, v in pack.items() if k != "package_hash"}
-        if hashlib.sha256(json.dumps(_hex(body), sort_keys=True, separators=(",", ":")).encode()).hexdigest() != pack["package_hash"]:
-            raise ValueError("a package doesn't have its hash")
-        return pack
+        return read_package(self.root / "models" / name / f"{version}.json")
+
+    def publish(self, name: str, path: str | Path) -> int:
+        """Registers a package file that another registry, or a build, has written; its hash is checked first."""
+        return self.register(name, read_package(Path(path)))
 
     def resolve(self, name: str, alias: str) -> int | None:
         return self._aliases().get(f"{name}@{alias}")

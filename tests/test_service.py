@@ -144,3 +144,18 @@ def test_entry_contract(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) >= 70
+
+
+def test_a_package_file_is_published_if_it_has_its_hash(tmp_path, capsys):
+    from strandline.__main__ import main
+
+    one, two = Registry(str(tmp_path / "one")), Registry(str(tmp_path / "two"))
+    m = hmm.HMM(hmm.GAUSSIAN, np.array([1.0]), np.ones((1, 1)), np.zeros((1, 1)), np.ones((1, 1, 1)), log_likelihood=0.0)
+    one.register("m", package(m, ["x"], {"x": (0.1, 1.0)}, "2020-01-01", [1.0], {}))
+    file = tmp_path / "one" / "models" / "m" / "1.json"
+    assert main(["publish-package", "--profile", "m", "--registry", str(tmp_path / "two"), "--package", str(file)]) == 0
+    assert json.loads(capsys.readouterr().out) == {"version": 1} and two.load("m", 1) == one.load("m", 1)
+    file.write_text(file.read_text().replace("2020-01-01", "2020-01-02"))
+    with pytest.raises(ValueError):
+        two.publish("m", file)
+    assert main(["promote", "--profile", "m", "--registry", str(tmp_path / "two"), "--version", "1", "--actor", "a"]) == 0
