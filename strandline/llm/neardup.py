@@ -126,7 +126,7 @@ def _compare(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
     A group's documents are dealt into chunks, and its pairs into cells of two chunks, so that a text travels once for
     each cell, not for each pair, and a cell holds 2 * CHUNK sets on average, however large the group.
     """
-    chunks = pairs.groupBy("g").agg(F.ceil(F.count_distinct("b") / CHUNK).alias("n"))
+    chunks = materialize(pairs.groupBy("g").agg(F.ceil(F.count_distinct("b") / CHUNK).alias("n")), "chunks")
     of = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
     cells = pairs.join(chunks, "g").select(F.xxhash64("g", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell"), "a", "b")
     members = cells.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
