@@ -342,5 +342,11 @@ def q_family_pca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_final_refit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = refit.final_refit(spark, panels.lineitem_daily(spark, sf_dir), ["price", "quantity"], 2)
-    return spark.createDataFrame([(json.dumps(found["features"]), found["rows"], str(found["trained_through"]), found["alpha"])], "features string, rows long, trained_through string, alpha array<double>")
+    """The refit's filter after its last day, or the gate's reason for deploying no model (alpha is then NULL), with the states' shares of the days."""
+    try:
+        found = refit.final_refit(spark, panels.lineitem_daily(spark, sf_dir), ["price", "quantity"], 2)
+    except refit.Rejected as e:
+        found = e.known | {"reason": str(e)}
+    last = found["trained_through"]
+    row = (json.dumps(found["features"]), found["rows"], None if last is None else str(last), *[found.get(k) for k in ("alpha", "reason", "hard", "soft")])
+    return spark.createDataFrame([row], "features string, rows long, trained_through string, alpha array<double>, reason string, hard array<double>, soft array<double>")

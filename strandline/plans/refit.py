@@ -265,31 +265,45 @@ def oos_rows(panel: DataFrame, results: list[FoldResult], name: str, time: str =
 MIN_REFIT_ROWS = 504
 
 
+class Rejected(pca.StatisticallyInvalid):
+    """A gate that leaves nothing to deploy: its reason, and in known what the refit had found by then."""
+
+    def __init__(self, reason: str, known: dict) -> None:
+        super().__init__(reason)
+        self.known = known
+
+
 def final_refit(spark: SparkSession, panel: DataFrame, features: list[str], states: int, family: str = hmm.GAUSSIAN, cutoff: object = None, seeds: tuple[int, ...] = multistart.SEEDS, min_rows: int = MIN_REFIT_ROWS, time: str = "ts", fits: dict[str, pca.PCA] | None = None) -> dict:
     """The model to deploy, on all complete rows up to the cutoff: multistart, gates on covariances and occupancy, states in canonical order.
 
     features may be components of fits, the selection's projections, which stay as they are; the scaler is fitted over components.
+    A gate that fails raises Rejected; hard and soft are the states' shares of the rows, in the model's order or, of a rejected one, the fit's.
     """
     inside = panel if cutoff is None else panel.filter(F.col(time) <= F.lit(cutoff))
     rows = model_rows(inside, features, fits or {}, time).na.drop("any", subset=list(features)).orderBy(time).collect()
+    known = {"features": list(features), "rows": len(rows), "trained_through": rows[-1][0] if rows else None}
     if len(rows) < min_rows:
-        raise pca.StatisticallyInvalid(f"{len(rows)} rows, {min_rows} needed")
+        raise Rejected(f"{len(rows)} rows, {min_rows} needed", known)
     matrix = np.array([list(r[1:]) for r in rows], float)
     job = multistart.Job("final", tuple(range(len(features))), len(rows), 0, states, family)
     top = multistart.winners(multistart.run(spark, matrix, [job], seeds)).first()
     if not top["valid"]:
-        raise pca.StatisticallyInvalid("too few starts converged")
+        raise Rejected("too few starts converged", known)
     found = json.loads(top["model"])
     model = hmm.HMM.from_dict(found)
     if reason := hmm.covariance_reason(model):
-        raise pca.StatisticallyInvalid(reason)
+        raise Rejected(reason, known)
     mean, scale = (np.array(v) for v in found["scaler"])
     p, _ = hmm.forward(model.log_emissions((matrix - mean) / scale), model.start, model.transition)
     hard, soft = np.bincount(p.argmax(axis=1), minlength=states) / len(p), p.mean(axis=0)
+    shares = {"hard": hard.tolist(), "soft": soft.tolist()}
     if hard.min() < diagnostics.MIN_HARD or soft.min() < diagnostics.MIN_SOFT:
-        raise pca.StatisticallyInvalid("a state is hardly occupied")
-    order = alignment.first_order(model)
-    return {
-        "model": model.permuted(order), "scaler": {f: (float(m), float(s)) for f, m, s in zip(features, mean, scale, strict=True)}, "alpha": p[-1][order].tolist(), "trained_through": rows[-1][0],
-        "features": list(features), "rows": len(rows), "pca": {n: f.to_dict() for n, f in (fits or {}).items()},
+        raise Rejected("a state is hardly occupied", known | shares)
+    try:
+        order = alignment.first_order(model)
+    except alignment.AmbiguousAlignment as e:
+        raise Rejected(str(e), known | shares) from e
+    return known | {
+        "model": model.permuted(order), "scaler": {f: (float(m), float(s)) for f, m, s in zip(features, mean, scale, strict=True)}, "alpha": p[-1][order].tolist(),
+        "hard": hard[order].tolist(), "soft": soft[order].tolist(), "pca": {n: f.to_dict() for n, f in (fits or {}).items()},
     }

@@ -1,11 +1,14 @@
 """Every regime query against its DuckDB SQL; every one without SQL gives rows of a stable schema."""
 
+import datetime as dt
 import hashlib
 
+import numpy as np
 import pytest
 
 from strandline.operators import multistart
 from strandline.plans import catalogue, refit
+from strandline.sources import panels
 from tests.oracle import DATA, agree, connect
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
@@ -68,3 +71,30 @@ def test_final_refit_has_regimes(spark, monkeypatch):
     monkeypatch.setattr(refit, "final_refit", lambda *a, **k: seen.append(a) or {"features": [], "rows": 0, "trained_through": "", "alpha": []})
     catalogue.queries()["q_final_refit"](spark, str(DATA / SF))
     assert seen[0][3] >= 2
+
+
+def _lineitem(spark, folder, days):
+    """A lineitem table of one line a day, of the given prices and quantities."""
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=k), p, q, 0.05, 0.02, "N") for k, (p, q) in enumerate(days)]
+    schema = "l_shipdate date, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+    spark.createDataFrame(rows, schema).write.parquet(str(folder / "lineitem.parquet"))
+    return str(folder)
+
+
+def test_a_refit_that_a_gate_rejects_is_a_row_with_its_reason(spark, tmp_path):
+    q, rng = catalogue.queries()["q_final_refit"], np.random.default_rng(5)
+    noise = rng.normal(size=(600, 2))
+    noise[::100] *= 60  # six days far from the others: a state of 1 % of the days at most
+    sf = _lineitem(spark, tmp_path / "odd", (noise + 1000).tolist())
+    (r,) = q(spark, sf).collect()
+    assert (r["features"], r["rows"], r["trained_through"]) == ('["price", "quantity"]', 600, "2021-08-22")
+    assert r["alpha"] is None and r["reason"] == "a state is hardly occupied" and 0 < min(r["hard"]) <= 0.01 and abs(sum(r["soft"]) - 1) < 1e-9
+    with pytest.raises(refit.Rejected, match="hardly occupied"):  # to deploy it stays an error
+        refit.final_refit(spark, panels.lineitem_daily(spark, sf), ["price", "quantity"], 2)
+    (r,) = q(spark, _lineitem(spark, tmp_path / "short", noise[:100].tolist())).collect()
+    assert (r["rows"], r["trained_through"], r["alpha"], r["reason"]) == (100, "2020-04-09", None, "100 rows, 504 needed")
+    (r,) = q(spark, _lineitem(spark, tmp_path / "none", [])).collect()
+    assert (r["rows"], r["trained_through"], r["alpha"], r["reason"]) == (0, None, None, "0 rows, 504 needed")
+    states = np.repeat([0, 1, 0, 1], 150)[:, None]
+    (r,) = q(spark, _lineitem(spark, tmp_path / "two", (rng.normal(size=(600, 2)) + 6 * states).tolist())).collect()
+    assert r["reason"] is None and r["alpha"][1] > 0.99 and r["hard"] == [0.5, 0.5]
