@@ -8,6 +8,7 @@ import pytest
 
 from strandline.operators import multistart
 from strandline.plans import catalogue, refit
+from strandline.plans.oracle_panels import LINEITEM_DAILY
 from strandline.sources import panels
 from tests.oracle import DATA, agree, connect
 
@@ -98,3 +99,13 @@ def test_a_refit_that_a_gate_rejects_is_a_row_with_its_reason(spark, tmp_path):
     states = np.repeat([0, 1, 0, 1], 150)[:, None]
     (r,) = q(spark, _lineitem(spark, tmp_path / "two", (rng.normal(size=(600, 2)) + 6 * states).tolist())).collect()
     assert r["reason"] is None and r["alpha"][1] > 0.99 and r["hard"] == [0.5, 0.5]
+
+
+def test_a_refit_reads_every_day_and_keeps_its_gates(spark):
+    """At a size whose fit is rejected. Days and last day are DuckDB's."""
+    days, last = connect("sf0.01").execute(f"WITH {LINEITEM_DAILY} SELECT count(*), max(ts)::VARCHAR FROM lineitem_daily WHERE price IS NOT NULL AND quantity IS NOT NULL").fetchone()
+    (r,) = catalogue.queries()["q_final_refit"](spark, str(DATA / "sf0.01")).collect()
+    assert (r["rows"], r["trained_through"]) == (days, last) and len(r["hard"]) == len(r["soft"]) == 2
+    kept = min(r["hard"]) >= 0.03 and min(r["soft"]) >= 0.05
+    assert (r["alpha"] is not None) == (r["reason"] is None) == kept
+    assert abs(sum(r["hard"]) - 1) < 1e-9 and abs(sum(r["soft"]) - 1) < 1e-9
