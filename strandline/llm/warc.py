@@ -40,7 +40,7 @@ BLOCK, GAP, READ, TASK = 4 << 20, 64 << 10, 4 << 20, 16 << 20
 #: WARC asks for a date; a fixed one keeps reruns equal.
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string"
-_FIELD = re.compile(rb"^([A-Za-z-]+): (.*?)\r?$", re.M)
+_FIELD = re.compile(rb"^([A-Za-z0-9-]+): (.*?)\r?$", re.M)
 
 
 def digest(payload: bytes) -> str:
