@@ -120,15 +120,21 @@ def _texts_of(ids: DataFrame, id: str, facts: DataFrame, texts: DataFrame) -> Da
     return ids.join(keys, id).join(texts.select("k1", "k2", "text"), ["k1", "k2"]).drop("k1", "k2")
 
 
-def _compare(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, total) of different pairs (g, a, b), from full sets.
+def _cells(pairs: DataFrame) -> DataFrame:
+    """(cell, a, b) of different pairs (g, a, b).
 
-    A group's documents are dealt into chunks, and its pairs into cells of two chunks, so that a text travels once for
-    each cell, not for each pair, and a cell holds 2 * CHUNK sets on average, however large the group.
+    A group's documents, on either side of its pairs, are dealt into chunks, and its pairs into cells of two chunks, so
+    that a text travels once for each cell, not for each pair, and a cell holds 2 * CHUNK sets on average, however large
+    the group.
     """
-    chunks = materialize(pairs.groupBy("g").agg(F.ceil(F.count_distinct("b") / CHUNK).alias("n")), "chunks")
+    chunks = pairs.select("g", F.explode(F.array("a", "b")).alias("id")).groupBy("g").agg(F.ceil(F.count_distinct("id") / CHUNK).alias("n"))
     of = lambda c: F.pmod(F.xxhash64(c), F.col("n"))
-    cells = pairs.join(chunks, "g").select(F.xxhash64("g", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell"), "a", "b")
+    return pairs.join(materialize(chunks, "chunks"), "g").select(F.xxhash64("g", F.least(of("a"), of("b")), F.greatest(of("a"), of("b"))).alias("cell"), "a", "b")
+
+
+def _compare(pairs: DataFrame, facts: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, total) of different pairs (g, a, b), from full sets."""
+    cells = _cells(pairs)
     members = cells.select("cell", F.explode(F.array("a", "b")).alias("a")).distinct()
     read = _texts_of(members, "a", facts, texts).select("cell", "a", F.lit(None).cast("long").alias("b"), "text")
     rows = read.union(cells.select("cell", "a", "b", F.lit(None).cast("binary")))

@@ -478,6 +478,15 @@ def test_release_deletes_what_was_written(spark):
     assert not folder.exists() and common._FOLDERS == []
 
 
+def test_a_document_paired_with_a_large_group_fills_no_cell(spark):
+    n = 40 * neardup.CHUNK
+    pairs = {"last": [(0, k, n) for k in range(n)], "first": [(0, 0, k) for k in range(1, n + 1)]}
+    for rows in pairs.values():
+        cells = neardup._cells(spark.createDataFrame(rows, "g long, a long, b long"))
+        assert {(r["a"], r["b"]) for r in cells.collect()} == {(a, b) for _, a, b in rows}
+        assert cells.groupBy("cell").count().agg(F.max("count")).first()[0] < 2 * neardup.CHUNK
+
+
 def test_records_of_one_id_and_urls_with_line_breaks(spark):
     from strandline.llm.common import new_folder
 
