@@ -72,6 +72,8 @@ def run(spark: SparkSession, matrix: np.ndarray, jobs: list[Job], seeds: tuple[i
         if len(train) < 10 * job.states:
             return [blank(s, "too_few_rows") for s in chosen]
         mean, scale = train.mean(axis=0), train.std(axis=0)
+        if not np.isfinite(scale).all():  # of an overflow: scaled by it, the feature would be constant
+            return [blank(s, "overflow") for s in chosen]
         if (scale <= 0).any():
             return [blank(s, "constant_feature") for s in chosen]
         x, y, out = (train - mean) / scale, (test - mean) / scale, []

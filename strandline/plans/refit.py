@@ -277,14 +277,17 @@ def final_refit(spark: SparkSession, panel: DataFrame, features: list[str], stat
     """The model to deploy, on all complete rows up to the cutoff: multistart, gates on covariances and occupancy, states in canonical order.
 
     features may be components of fits, the selection's projections, which stay as they are; the scaler is fitted over components.
+    A row without a time has no place in the series and isn't complete; an infinite value leaves nothing to fit.
     A gate that fails raises Rejected; hard and soft are the states' shares of the rows, in the model's order or, of a rejected one, the fit's.
     """
     inside = panel if cutoff is None else panel.filter(F.col(time) <= F.lit(cutoff))
-    rows = model_rows(inside, features, fits or {}, time).na.drop("any", subset=list(features)).orderBy(time).collect()
+    rows = model_rows(inside, features, fits or {}, time).na.drop("any", subset=[time, *features]).orderBy(time).collect()
     known = {"features": list(features), "rows": len(rows), "trained_through": rows[-1][0] if rows else None}
     if len(rows) < min_rows:
         raise Rejected(f"{len(rows)} rows, {min_rows} needed", known)
     matrix = np.array([list(r[1:]) for r in rows], float)
+    if odd := int((~np.isfinite(matrix).all(axis=1)).sum()):
+        raise Rejected(f"{odd} rows are not finite", known)
     job = multistart.Job("final", tuple(range(len(features))), len(rows), 0, states, family)
     top = multistart.winners(multistart.run(spark, matrix, [job], seeds)).first()
     if not top["valid"]:

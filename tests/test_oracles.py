@@ -5,6 +5,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import multistart
 from strandline.plans import catalogue, refit
@@ -109,3 +110,19 @@ def test_a_refit_reads_every_day_and_keeps_its_gates(spark):
     kept = min(r["hard"]) >= 0.03 and min(r["soft"]) >= 0.05
     assert (r["alpha"] is not None) == (r["reason"] is None) == kept
     assert abs(sum(r["hard"]) - 1) < 1e-9 and abs(sum(r["soft"]) - 1) < 1e-9
+
+
+def test_a_refit_of_odd_values_and_days_is_no_error(spark, tmp_path):
+    q, rng = catalogue.queries()["q_final_refit"], np.random.default_rng(5)
+    days = (rng.normal(size=(600, 2)) + 6 * np.repeat([0, 1, 0, 1], 150)[:, None]).tolist()
+    odd = lambda v: [[v, days[100][1]] if k == 100 else d for k, d in enumerate(days)]
+    for name, value, reason in (("infinite", float("inf"), "1 rows are not finite"), ("overflow", 1.7e308, "too few starts converged")):
+        (r,) = q(spark, _lineitem(spark, tmp_path / name, odd(value))).collect()
+        assert (r["rows"], r["trained_through"], r["alpha"], r["reason"]) == (600, "2021-08-22", None, reason)
+    sf = _lineitem(spark, tmp_path / "missing", odd(None))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    undated = lines.withColumn("l_shipdate", F.when(F.col("l_shipdate") < "2021-08-22", F.col("l_shipdate")))
+    undated.write.parquet(str(tmp_path / "undated" / "lineitem.parquet"))
+    (r,) = q(spark, str(tmp_path / "undated")).collect()  # a line of no day is of no row, as is a day of no price
+    assert (r["rows"], r["trained_through"], r["reason"]) == (598, "2021-08-21", None)
+    assert min(r["hard"]) > 0.49 and r["alpha"][1] > 0.99
